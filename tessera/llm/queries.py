@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash
+from tessera.llm import decontaminate, lines, mixing, simhash
 from tessera.llm.common import table
 
 
@@ -18,8 +18,84 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document shares with the benchmark."""
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs).select("row.doc_id", "size", "source_size", "target", "copies")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten or more of them hold."""
+    found = lines.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
+    "op7_mix": op7_mix,
+    "op9_lines": op9_lines,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP4_SQL = rf"""
+WITH doc AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOW.format("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+item AS (SELECT item_id, list_filter(regexp_split_to_array({_LOW.format("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+item_window AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS g
+  FROM item, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS t(i) WHERE len(w) > 0),
+doc_window AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM doc, (SELECT DISTINCT n FROM item_window), unnest(range(1, len(w) - n + 2)) AS t(i)),
+occurs AS (SELECT * FROM doc_window WHERE g IN (SELECT g FROM item_window)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM occurs, unnest(range(i, i + n)) AS t(p) GROUP BY doc_id),
+named AS (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM occurs JOIN item_window USING (n, g)),
+listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM named GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
+OP7_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS tie,
+    CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
+boxed AS (
+  SELECT *, length(bin(size)) * 8 + ((size * 8) >> (length(bin(size)) - 1)) % 8 AS step, CAST('0x' || substr(tie, 1, 2) AS INT) % 64 AS part FROM doc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY step, part, size, tie) - 1 AS at FROM boxed),
+total AS (SELECT source, CAST(sum(size) AS BIGINT) AS size FROM doc GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM total),
+summed AS (
+  SELECT *, CAST(sum(size) OVER () * 150 AS DOUBLE) / 100 - 2 * coalesce(sum(size) OVER o, 0) AS left_, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS rest
+  FROM weighed WINDOW o AS (ORDER BY CAST(size AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+judged AS (SELECT *, size * 2 * rest <= left_ * weight AS above FROM summed),
+goal AS (
+  SELECT source, size AS source_size, CASE WHEN above THEN size * 2.0::DOUBLE
+    ELSE CAST(arg_max(left_, rest) FILTER (WHERE NOT above) OVER () AS DOUBLE) * weight / max(rest) FILTER (WHERE NOT above) OVER () END AS target FROM judged),
+rated AS (SELECT r.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS each FROM ranked r JOIN goal g ON r.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
+  CAST(size * least(floor((at + 1) * each + 0.5) - floor(at * each + 0.5), ceil(each)) AS BIGINT) AS taken FROM rated
+"""
+
+OP9_SQL = rf"""
+WITH line AS (
+  SELECT doc_id, i, x, trim({_LOW.format("x")}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(l, range(1, len(l) + 1)) AS t(x, i)),
+hot AS (SELECT k FROM line WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE k IN (FROM hot)) AS n_dropped,
+  sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE k NOT IN (FROM hot)), '')) AS kept_sha256
+FROM line GROUP BY doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": OP4_SQL,
+    "op7_mix": OP7_SQL,
+    "op9_lines": OP9_SQL,
+}
