@@ -60,8 +60,15 @@ class LineRuns:
             level += 1
 
     def _merged(self, names: list[str]) -> DataFrame:
-        rows = reduce(DataFrame.union, [self.spark.table(x) for x in names])
-        return rows.groupBy("key").agg(F.sum("docs").alias("docs"), F.max("first").alias("first"))
+        """The runs merged, by full joins of their sorted buckets; a union would lose the buckets."""
+
+        def merge(a: DataFrame, b: DataFrame) -> DataFrame:
+            b = b.select("key", F.col("docs").alias("more"), F.col("first").alias("too"))
+            docs = F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))
+            first = F.coalesce("first", F.lit(False)) | F.coalesce("too", F.lit(False))
+            return a.join(b, "key", "full").select("key", docs.alias("docs"), first.alias("first"))
+
+        return reduce(merge, map(self.spark.table, names))
 
     def counts(self) -> DataFrame:
         """(key, docs) over all batches, a row for each key."""
