@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, lines, mixing, simhash
-from tessera.llm.common import table
+from tessera.llm import decontaminate, langid, lines, mixing, simhash, toxicity
+from tessera.llm.common import held_out, table
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,22 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of four fifths of the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs.join(labels, "doc_id").where(~held_out(F.col("doc_id"), 5, 0)).select("text", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of the ids."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out(F.col("doc_id"), 4, 2)).select("text", "lang"))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -37,8 +53,10 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
+    "op6_language": op6_language,
     "op7_mix": op7_mix,
     "op9_lines": op9_lines,
 }
