@@ -29,8 +29,10 @@ def line_keys(text: Column) -> Column:
 class LineRuns:
     """The levelled runs of a corpus that comes in batches, in a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, buckets: int = 64, fanout: int = 3) -> None:
-        self.spark, self.buckets, self.fanout = spark, buckets, fanout
+    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 3) -> None:
+        """buckets: as many as a shuffle has partitions, if not given, so that a bucket is written by one task."""
+        self.spark, self.fanout = spark, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.folder, self.levels = shared_folder(spark, "runs"), [[]]
 
     def _write(self, rows: DataFrame) -> str:
