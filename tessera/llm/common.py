@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +32,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(path)
-    fs.deleteOnExit(path)
-    return fs.makeQualified(path).toString()
+    hadoop = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    hadoop.mkdirs(path)
+    hadoop.deleteOnExit(path)
+    return re.sub(r"^file:/(?!/)", "file:///", hadoop.makeQualified(path).toString())
+
+
+def store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder or file and its path there, for code on the driver and on executors alike."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
 
 
 def kept(df: DataFrame, name: str = "table") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, langid, lines, mixing, simhash, toxicity
+from tessera.llm import chat, decontaminate, forest, langid, lines, mixing, simhash, toxicity, warc
 from tessera.llm.common import held_out, table
 
 
@@ -31,6 +31,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, archived and read back through the capture index."""
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels of four fifths of the ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -60,7 +65,13 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    return forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
     "op3_chat": op3_chat,
     "op4_decontaminate": op4_decontaminate,
@@ -68,10 +79,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op7_mix": op7_mix,
     "op9_lines": op9_lines,
+    "op10_neighbours": op10_neighbours,
 }
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP1_SQL = """
+WITH page AS (SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS size FROM pages),
+first AS (SELECT html, max(page_id) AS first FROM page WHERE size >= 1000 GROUP BY html HAVING count(*) > 1)
+SELECT page_id, size AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM page LEFT JOIN first USING (html)
+"""
+
 OP3_SQL = r"""
 WITH turn AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -137,6 +158,7 @@ FROM line GROUP BY doc_id
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": OP1_SQL,
     "op3_chat": OP3_SQL,
     "op4_decontaminate": OP4_SQL,
     "op7_mix": OP7_SQL,
