@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, forest, langid, lines, mixing, simhash, toxicity, warc
+from tessera.llm import chat, decontaminate, forest, langid, lines, lm, mixing, simhash, toxicity, warc
 from tessera.llm.common import held_out, table
 
 
@@ -59,6 +59,14 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learned from six sevenths of the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trie = lm.train(docs.where(~held_out(F.col("doc_id"), 7, 2)))
+    found = lm.score(docs, trie)
+    return found.withColumn("held_out", held_out(F.col("doc_id"), 7, 2))
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten or more of them hold."""
     found = lines.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -78,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_language": op6_language,
     "op7_mix": op7_mix,
+    "op8_score": op8_score,
     "op9_lines": op9_lines,
     "op10_neighbours": op10_neighbours,
 }
