@@ -45,14 +45,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = S
     return dealt.select("source", F.col("size").alias("source_size"), target.alias("target"))
 
 
-def mix(docs: DataFrame, offset: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """(row: the row of docs as a struct, size, source_size, target, copies) of every row.
+def mix(docs: DataFrame, offset: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None, **how) -> DataFrame:
+    """(row: the columns `keep` of docs, or all, as a struct, size, source_size, target, copies) of every row.
 
     A null or blank text has size 0; a source of size 0 has target 0 and gives nothing. The null source is one source.
     The offset, from 0 to below 1, is the random part of the method: one number for all sources, given by the caller,
     so that reruns agree. Ties of size go by a hash of the id; repeated rows are emitted each for itself.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("source"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"))
+    rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col(source_col).alias("source"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"))
     bits = F.length(F.bin("size"))
     step = bits * 8 + F.expr("shiftright(size * 8, length(bin(size)) - 1)").cast("int") % 8
     tie = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
