@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.errors import QueryError
-from tessera.schema import MANAGED, Column, Owned, Reference
+from tessera.schema import MANAGED, Column, Owned, Reference, seconds
 from tessera.sources.binding import Registry, Table
 from tessera.types import KINDS, canonical_json
 
@@ -149,9 +149,27 @@ class Where:
                 df = df.join(keys, df[own] == keys["_key"], "left_semi" if wanted else "left_anti")
             return df
         columns = df.columns
+        if table.partition and key == table.partition[0] and "_bucket" in columns:
+            df = df.where(self._buckets(given, table))
         df, condition = self.condition(df, table, {key: given})
         return df if condition is None else df.where(condition).select(*columns)
 
+    @staticmethod
+    def _buckets(given: Any, table: Table) -> Expr:
+        """What a condition on the time of a partitioned table says about its bucket, so that folders are pruned."""
+        kind, span = table.shape[table.partition[0]], F.lit(seconds(table.partition[1]))
+        start = lambda v: F.floor(F.unix_micros(literal(v, kind).cast("timestamp")) / F.lit(1_000_000) / span) * span
+        given = given if isinstance(given, Mapping) else {"eq": given}
+        out = F.lit(True)
+        for op, value in given.items():
+            if value is None or value is UNSET:
+                continue
+            if op in ("gt", "gte", "eq"):
+                out &= F.col("_bucket") >= start(value)
+            if op in ("lt", "lte", "eq"):
+                out &= F.col("_bucket") <= start(value)
+        return out
+
     def condition(self, df: DataFrame, table: Table, where: Mapping[str, Any]) -> tuple[DataFrame, Expr | None]:
         """df with marker columns, and the condition over them; None if there is none."""
         parts = []

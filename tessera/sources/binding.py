@@ -55,6 +55,7 @@ class Table:
     binding: Binding
     entity: str  # of the root
     parts: dict[str, Table] = field(default_factory=dict)
+    partition: tuple[str, str] | None = None  # field and span, if the rows have `_bucket`
 
     def rows(self) -> DataFrame:
         df, b = self.binding.rows(), self.binding
@@ -65,6 +66,8 @@ class Table:
             elif isinstance(node, Reference) and not node.many:
                 wanted[f"{name}Id"] = None
         out, there = [], {c.lower() for c in df.columns}
+        if self.partition:
+            out.append(F.col("_bucket"))
         if b.parent:
             out.append(F.col(b.parent).alias("_parent"))
         for name, kind in wanted.items():
