@@ -382,15 +382,42 @@ class Writer(Engine):
                     raise QueryError(f"{entity.name}.{f}: one operation a field")
                 row[column(f)] = self._value(node, how["value"], f) if isinstance(node, Column) else how["value"]
             rows.append(row)
-        name, now, schema = table.name, self.clock(), self.store.schemas[table.name]
+        schema = self.store.schemas[table.name]
         cols, key_cols = {column(f): op for f, op in ops.items()}, [column(k) for k in keys]
         fresh = {}
         for row in rows:
             fresh.setdefault(tuple(row[c] for c in key_cols), new_id())
         kinds = [T.StructField("_seq", T.IntegerType()), T.StructField("_new", T.StringType()), *(schema[c] for c in [*key_cols, *cols])]
         delta = self.spark.createDataFrame([(i, fresh[tuple(r[c] for c in key_cols)], *(r.get(c) for c in [*key_cols, *cols])) for i, r in enumerate(rows)], T.StructType(kinds))
-        fold = {"inc": F.sum, "max": F.max, "min": F.min, "setOnInsert": lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_seq")))}
-        delta = delta.groupBy(*[F.col(c).alias(f"k_{c}") for c in key_cols]).agg(F.first("_new").alias("_new"), *[fold[op](c).alias(f"d_{c}") for c, op in cols.items()])
+        with self.transaction():
+            wanted = self._merge(entity, key_cols, cols, delta)
+            now_there = self.store.frame(table.name)
+            found = now_there.join(wanted, reduce(lambda a, b: a & b, [now_there[c] == wanted[f"k_{c}"] for c in key_cols]), "left_semi")
+            by = {tuple(r[c] for c in key_cols): r["id"] for r in found.select("id", *key_cols).collect()}
+            ids = [by[k] for k in fresh]
+            self._check_scope(entity, ids, check)
+        return ids
+
+    def accumulate_rows(self, entity: Entity, key: Sequence[str], ops: Mapping[str, str], deltas: DataFrame) -> None:
+        """As accumulate_many, of a table of deltas: the key's fields and a value for each field of ops (field to the
+        name of its operation). Nothing goes through the driver; setOnInsert takes the smallest value of a batch."""
+        column = lambda f: f"{snake(f)}_id" if isinstance(self.registry.table(entity).shape.get(f), Reference) else snake(f)
+        declared = [{f} for f, n in entity.shape.items() if isinstance(n, Column) and n.is_unique] + [set(g) for g in entity.unique]
+        if set(key) not in declared:
+            raise QueryError(f"{entity.name}: {sorted(key)} is not declared as unique")
+        rows = deltas.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])).select(
+            F.lit(0).alias("_seq"), F.expr("uuid()").alias("_new"), *[F.col(f).alias(column(f)) for f in [*key, *ops]]
+        )
+        with self.transaction():
+            self._merge(entity, [column(k) for k in key], {column(f): op for f, op in ops.items()}, rows)
+
+    def _merge(self, entity: Entity, key_cols: list[str], cols: Mapping[str, str], delta: DataFrame) -> DataFrame:
+        """Folds deltas (_seq, _new: the id if the key is new, keys, values) and merges them with the table; returns the
+        distinct keys as k_<column>."""
+        table = self.registry.table(entity)
+        name, now, schema = table.name, self.clock(), self.store.schemas[table.name]
+        fold = {"inc": F.sum, "max": F.max, "min": F.min, "setOnInsert": lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col("_seq"), F.col(c))))}
+        delta = delta.groupBy(*[F.col(c).alias(f"k_{c}") for c in key_cols]).agg(F.min("_new").alias("_new"), *[fold[op](c).alias(f"d_{c}") for c, op in cols.items()])
         old = self.store.frame(name)
         both = old.join(delta, reduce(lambda a, b: a & b, [old[c] == delta[f"k_{c}"] for c in key_cols]), "full")
         missing, touched = F.col("id").isNull(), F.col("_new").isNotNull()
@@ -412,12 +439,5 @@ class Writer(Engine):
                 return F.when(missing, (F.array() if given == [] else F.lit(given)).cast(schema[c].dataType)).otherwise(F.col(c))
             return F.col(c)
 
-        with self.transaction():
-            self.store.replace(name, both.select(*[value(c).cast(schema[c].dataType).alias(c) for c in schema.names]))
-            now_there = self.store.frame(name)
-            wanted = delta.select(*[f"k_{c}" for c in key_cols])
-            found = now_there.join(wanted, reduce(lambda a, b: a & b, [now_there[c] == wanted[f"k_{c}"] for c in key_cols]), "left_semi")
-            by = {tuple(r[c] for c in key_cols): r["id"] for r in found.select("id", *key_cols).collect()}
-            ids = [by[k] for k in fresh]
-            self._check_scope(entity, ids, check)
-        return ids
+        self.store.replace(name, both.select(*[value(c).cast(schema[c].dataType).alias(c) for c in schema.names]))
+        return delta.select(*[f"k_{c}" for c in key_cols])
