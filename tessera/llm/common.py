@@ -63,6 +63,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def packed(keep: list[str] | None) -> Column:
+    """The columns `keep` of a row, or all, as a struct `row`, out of the way of an operator's own columns."""
+    return F.struct(*(keep or ["*"])).alias("row")
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

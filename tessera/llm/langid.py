@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import packed
+
 ORDERS = (1, 2, 3)
 #: Cells of the matrix at most (8 bytes each), hash slots at most, and languages at most.
 CELLS = 1 << 22
@@ -99,8 +101,8 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     return Model(languages, np.log(matrix / matrix.sum(axis=0)), np.log(prior / prior.sum()))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score (0 to 1; 0 for `und`) to docs. Whole texts are scored; null texts and those without a
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(row: the columns `keep` of docs, or all, as a struct, lang_pred, score: 0 to 1; 0 for `und`) of every row. Whole texts are scored; null texts and those without a
     letter are `und`, as is everything if nothing was learned."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # CELLS * 8 bytes at most
 
@@ -108,4 +110,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def of(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.select("*", of(F.col(text_col)).alias("predicted")).select(*docs.columns, "predicted.*")
+    return docs.select(packed(keep), of(F.col(text_col)).alias("predicted")).select("row", "predicted.*")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLANKS, ascii_lower, kept, shared_folder, small_side, text_key
+from tessera.llm.common import BLANKS, ascii_lower, kept, packed, shared_folder, small_side, text_key
 
 
 def line_keys(text: Column) -> Column:
@@ -98,7 +98,6 @@ def frequent(docs: DataFrame, at_least: int = 10, batches: int = 4, text_col: st
     return found
 
 
-@F.pandas_udf("text string, dropped long")
 def _without(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
     """The texts without the lines whose key is among the hashes given."""
     out = []
@@ -112,8 +111,8 @@ def _without(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "dropped"])
 
 
-def drop_lines(docs: DataFrame, at_least: int = 10, text_col: str = "text", **how) -> DataFrame:
-    """(row: the row of docs as a struct, n_lines, n_dropped, kept: the text without the lines that drop).
+def drop_lines(docs: DataFrame, at_least: int = 10, text_col: str = "text", keep: list[str] | None = None, **how) -> DataFrame:
+    """(row: the columns `keep` of docs, or all, as a struct, n_lines, n_dropped, kept: the text without the lines that drop).
 
     A line's key is the line with white space [\\x20\\x09-\\x0D] stripped at both ends and A-Z in lower case. Lines whose
     key has a character and is found in `at_least` rows are dropped from every row. Null and empty texts are one empty
@@ -124,8 +123,9 @@ def drop_lines(docs: DataFrame, at_least: int = 10, text_col: str = "text", **ho
     key = text_key(text)
     held = docs.select(key.alias("k"), F.explode(line_keys(F.col(text_col))).alias("key")).join(hot, "key")
     drops = small_side(kept(held.groupBy("k").agg(F.collect_set("key").alias("drop")), "drops"), 100_000)
-    rows = docs.select(F.struct("*").alias("row"), text.alias("text"), key.alias("key")).join(drops, F.col("key") == F.col("k"), "left")
-    cut = _without(F.when(F.col("drop").isNotNull(), F.col("text")), "drop")
+    rows = docs.select(packed(keep), text.alias("text"), key.alias("key")).join(drops, F.col("key") == F.col("k"), "left")
+    without = F.pandas_udf(_without, "text string, dropped long")
+    cut = without(F.when(F.col("drop").isNotNull(), F.col("text")), "drop")
     rows = rows.select("row", "text", "drop", cut.alias("cut"))
     n = F.when(F.col("drop").isNull(), F.lit(0)).otherwise(F.col("cut.dropped")).cast("long")
     return rows.select(

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_folder
+from tessera.llm.common import packed, shared_folder
 from tessera.llm.elias_fano import EliasFano, load, save
 
 #: Hash of the end of a text; no word has white space.
@@ -427,8 +427,9 @@ def _scores(trie: Trie, hashes: np.ndarray, lengths: np.ndarray) -> dict[str, np
     return {"n_tokens": lengths, "n_known": total((c > 0).astype(np.int64)), "base_score": total(base), "score": total(np.log10(p))}
 
 
-def score(docs: DataFrame, trie: Trie, text_col: str = "text") -> DataFrame:
-    """The columns of docs but the text, with n_tokens, n_known, train_tokens, base_score and score, of every row.
+def score(docs: DataFrame, trie: Trie, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(row: the columns `keep` of docs, or all, as a struct, n_tokens, n_known, train_tokens, base_score, score) of
+    every row.
 
     A null text is empty: its only token is the end. An unknown word counts as one further word of the vocabulary. With
     nothing learned, score is 0 for each token.
@@ -441,6 +442,5 @@ def score(docs: DataFrame, trie: Trie, text_col: str = "text") -> DataFrame:
         out = [pd.DataFrame(_scores(shared.value, *batch))[names] for batch in _batches(iter([pd.DataFrame({"text": texts})]))]
         return pd.concat(out) if out else pd.DataFrame({x: [] for x in names})
 
-    rest = [c for c in docs.columns if c != text_col]
-    scored = docs.select(*rest, of(F.col(text_col)).alias("scored"))
-    return scored.select(*rest, "scored.n_tokens", "scored.n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "scored.base_score", "scored.score")
+    scored = docs.select(packed(keep), of(F.col(text_col)).alias("scored"))
+    return scored.select("row", "scored.n_tokens", "scored.n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "scored.base_score", "scored.score")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import kept, small_side, word_count
+from tessera.llm.common import kept, packed, small_side, word_count
 
 WEIGHTS = (5, 2, 1)
 #: Share of all words in the mix, in percent, and the most copies of a source or document.
@@ -52,7 +52,7 @@ def mix(docs: DataFrame, offset: float = 0.5, id_col: str = "doc_id", text_col:
     The offset, from 0 to below 1, is the random part of the method: one number for all sources, given by the caller,
     so that reruns agree. Ties of size go by a hash of the id; repeated rows are emitted each for itself.
     """
-    rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col(source_col).alias("source"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"))
+    rows = docs.select(packed(keep), F.col(source_col).alias("source"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"))
     bits = F.length(F.bin("size"))
     step = bits * 8 + F.expr("shiftright(size * 8, length(bin(size)) - 1)").cast("int") % 8
     tie = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))

@@ -39,17 +39,17 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels of four fifths of the ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.train(docs.join(labels, "doc_id").where(~held_out(F.col("doc_id"), 5, 0)).select("text", "toxic"))
-    return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+    learned = ~held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.train(docs.where(learned), table(spark, sf_dir, "labels").where(learned))
+    return toxicity.score(docs, model, keep=["doc_id"]).select("row.doc_id", held_out(F.col("row.doc_id"), 5, 0).alias("held_out"), "score", "predicted")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three quarters of the ids."""
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~held_out(F.col("doc_id"), 4, 2)).select("text", "lang"))
-    found = langid.predict(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+    found = langid.predict(docs, model, keep=["doc_id"])
+    return found.select("row.doc_id", held_out(F.col("row.doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,13 +62,13 @@ def op8_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document, learned from six sevenths of the ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trie = lm.train(docs.where(~held_out(F.col("doc_id"), 7, 2)))
-    found = lm.score(docs, trie)
-    return found.withColumn("held_out", held_out(F.col("doc_id"), 7, 2))
+    found = lm.score(docs, trie, keep=["doc_id"])
+    return found.select("row.doc_id", held_out(F.col("row.doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten or more of them hold."""
-    found = lines.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = lines.drop_lines(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import kept
+from tessera.llm.common import kept, packed, small_side
 
 ORDERS = (3, 4, 5, 6)
 #: Labelled texts of each label that are learned from, about.
@@ -24,7 +24,7 @@ PER_LABEL = 4000
 LEAST_TEXTS = 4
 LEAST_EVIDENCE = 15.0
 #: n-grams that are kept at most, those of most evidence first.
-FEATURES = 1 << 16
+FEATURES = 1 << 12
 STEPS = 400
 RIDGE = 1e-4
 CHUNK = 1 << 18
@@ -81,21 +81,23 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[self.features(text or "")].sum(), -30, 30))))
 
 
-def train(rows: DataFrame, text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL) -> Model:
-    """A model of rows labelled 0 or 1; other labels, and null texts, are left out.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL) -> Model:
+    """A model of the texts of docs by their labels, 0 or 1; other labels, and null ids and texts, are left out.
 
-    About `per_label` texts of each label are learned from, chosen by a hash of the text; the shares of the labels are
-    those of all rows. The driver goes through the sample twice, a partition at a time. With one label only, every
-    score is near that label's side; with none it is 0.5.
+    About `per_label` ids of each label are learned from, chosen by a hash of the id before any text is read; the shares
+    of the labels are those of all labelled ids. An id that is labelled twice counts with its higher label, and an id
+    with several texts with the greatest. The driver goes through the sample twice, a partition at a time. With one
+    label only, every score is near that label's side; with none it is 0.5.
     """
-    rows = rows.where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
-    counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    ids = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    counts = {r[0]: r[1] for r in ids.groupBy("label").count().collect()}
     if not counts:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
-    chance = F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30)) / float(1 << 30)
     rate = F.when(F.col("label") == 1, per_label / counts.get(1, 1)).otherwise(per_label / counts.get(0, 1))
-    sample = kept(rows.where(chance < rate).repartition(16), "sample")
-
+    chosen = small_side(kept(ids.where(chance < rate), "chosen"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(chosen, "id")
+    sample = kept(texts.groupBy("id", "label").agg(F.max("text").alias("text")).select("text", "label").repartition(16), "sample")
     return fit(sample.toLocalIterator, np.array([counts.get(0, 0), counts.get(1, 0)], float))
 
 
@@ -106,7 +108,11 @@ def fit(sample: Callable[[], Iterator[tuple[str, int]]], share: np.ndarray) -> M
     for text, label in sample():
         seen[label][np.unique(slot(_distinct(text)))] += 1
         n[label] += 1
-    table = (seen.sum(axis=0) >= LEAST_TEXTS) & (_evidence(seen[1], seen[0], n) >= LEAST_EVIDENCE)
+    evidence = _evidence(seen[1], seen[0], n)
+    table = (seen.sum(axis=0) >= LEAST_TEXTS) & (evidence >= LEAST_EVIDENCE)
+    if table.sum() > 2 * FEATURES:
+        table &= evidence >= np.partition(evidence[table], -2 * FEATURES)[-2 * FEATURES]
+    del seen, evidence
     texts, labels = [], []
     for text, label in sample():
         texts.append(_distinct(text, table))
@@ -136,12 +142,14 @@ def _ratio(ones: np.ndarray, zeros: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _evidence(ones: np.ndarray, zeros: np.ndarray, n: np.ndarray) -> np.ndarray:
     """G statistic of an n-gram and the label: twice the log-likelihood ratio against independence."""
-    total = max(1.0, n.sum())
-    both, out = ones + zeros, 0.0
-    for seen, whole in ((ones, n[1]), (zeros, n[0])):
-        for got, rows in ((seen, both), (whole - seen, total - both)):
-            out = out + got * np.log(np.maximum(got, 1e-9) / np.maximum(rows * whole / total, 1e-9))
-    return 2 * out
+    total, out = max(1.0, n.sum()), np.zeros(len(ones), np.float32)
+    for at in range(0, len(ones), CHUNK):
+        part = slice(at, at + CHUNK)
+        both = ones[part] + zeros[part]
+        for seen, whole in ((ones[part], n[1]), (zeros[part], n[0])):
+            for got, rows in ((seen, both), (whole - seen, total - both)):
+                out[part] += 2 * got * np.log(np.maximum(got, 1e-9) / np.maximum(rows * whole / total, 1e-9))
+    return out
 
 
 def _logistic(row: np.ndarray, col: np.ndarray, ratio: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
@@ -158,8 +166,9 @@ def _logistic(row: np.ndarray, col: np.ndarray, ratio: np.ndarray, y: np.ndarray
     return w, float(bias)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= 0.5) to docs. Whole texts are scored;
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(row: the columns `keep` of docs, or all, as a struct, score: 0 to 1, higher: label 1 likelier, predicted: 1 if
+    score >= 0.5) of every row. Whole texts are scored;
     null and empty texts get the score of a text without features."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 16 bytes a feature and a table of 4 MB
 
@@ -167,5 +176,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
 
-    scored = docs.select("*", of(F.col(text_col)).alias("score"))
+    scored = docs.select(packed(keep), of(F.col(text_col)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
