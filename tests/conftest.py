@@ -40,16 +40,16 @@ def sf_dir():
 
 def compare(rows, oracle) -> None:
     """Equal rows whatever their order, columns by name."""
-    import duckdb  # noqa: F401
+    import pandas as pd
 
     names = sorted(rows.columns)
     assert names == sorted(oracle.columns)
 
     def plain(v):
-        if v is None or v != v:
-            return None
         if hasattr(v, "tolist"):
             v = v.tolist()
+        if not isinstance(v, list) and pd.isna(v):
+            return None
         if isinstance(v, bool):
             return v
         return round(float(v), 6) if isinstance(v, int | float) else str(v)
