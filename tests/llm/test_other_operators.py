@@ -187,7 +187,7 @@ def test_forest_recall(spark):
 # language model ----------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("n", "top"), [(0, 1), (1, 5), (5, 5), (1000, 10), (1000, 10**6), (30_000, 10**13), (3000, 3000)])
+@pytest.mark.parametrize(("n", "top"), [(0, 1), (1, 5), (5, 5), (1000, 10), (1000, 10**6), (30_000, 10**13), (3000, 3000), (50, 10**12)])
 def test_elias_fano(tmp_path, n, top):
     rng = np.random.default_rng(n)
     values = np.sort(rng.integers(0, top, n))
@@ -195,7 +195,13 @@ def test_elias_fano(tmp_path, n, top):
     made = EliasFano(load(f"file://{tmp_path}/x"), "a")
     assert (made.get(np.arange(n)) == values).all()
     asked = np.concatenate([rng.integers(0, top + 10, 500), values[:200], values[:200] + 1])
-    assert (made.successor(asked) == np.searchsorted(values, asked)).all()
+    want = np.searchsorted(values, asked)
+    assert (made.successor(asked) == want).all()
+    there = np.isin(asked, values)
+    assert (made.find(np.append(asked, -1)) == np.append(np.where(there, want, -1), -1)).all()
+    if n > 1:
+        a, b = made.pair(np.arange(n - 1))
+        assert (a == values[:-1]).all() and (b == values[1:]).all()
 
 
 class Plain:
