@@ -14,28 +14,37 @@ import numpy as np
 
 from tessera.llm.common import store
 
-_SPAN = 8  # words to an entry of the directories
+#: Place of the k-th one (from 0) in a byte, by byte and k.
+_IN_BYTE = np.array([[*(i for i in range(8) if byte >> i & 1), *[0] * 8][:8] for byte in range(256)], np.int64)
 
 
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
-    """Place of the k-th (from 0) one, or zero if flip. before: their number in front of each span of words."""
-    block = np.searchsorted(before, k, side="right") - 1
-    k = k - before[block]
-    at = block[:, None] * _SPAN + np.arange(_SPAN)
-    span = words[np.minimum(at, len(words) - 1)]
-    span = ~span if flip else span
-    counts = np.cumsum(np.bitwise_count(span), axis=1, dtype=np.int64)
-    word = (counts <= k[:, None]).sum(axis=1)
-    row = np.arange(len(k))
-    k = k - np.where(word > 0, counts[row, np.maximum(word - 1, 0)], 0)
-    rest, place = span[row, word], np.zeros(len(k), np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        n = np.bitwise_count(rest & np.uint64((1 << width) - 1)).astype(np.int64)
+    """Place of the k-th one (from 0), or zero if flip. before: their number in front of each word."""
+    word = np.searchsorted(before, k, side="right") - 1
+    k, rest, place = k - before[word], words[word], word * 64
+    rest = ~rest if flip else rest
+    for width in (32, 16, 8):
+        n = np.bitwise_count(rest & np.uint64((1 << width) - 1))
         up = k >= n
         k = k - n * up
-        place += width * up
-        rest = rest >> (np.uint64(width) * up.astype(np.uint64))
-    return at[row, 0] * 64 + word * 64 + place
+        shift = up * width
+        place += shift
+        rest = rest >> shift.astype(np.uint64)
+    return place + _IN_BYTE[(rest & np.uint64(255)).astype(np.int64), k]
+
+
+def _run(words: np.ndarray, place: np.ndarray, ones: bool) -> np.ndarray:
+    """How many ones, or zeros, follow each other from a place on."""
+    length, open_ = np.zeros(len(place), np.int64), np.arange(len(place))
+    while open_.size:
+        at = place[open_] + length[open_]
+        bit = at & 63
+        word = words[np.minimum(at >> 6, len(words) - 1)]
+        word = (~word if ones else word) >> bit.astype(np.uint64)
+        step = np.minimum(np.bitwise_count((word & (~word + np.uint64(1))) - np.uint64(1)), 64 - bit)
+        length[open_] += step
+        open_ = open_[(step == 64 - bit) & (at >> 6 < len(words) - 1)]
+    return length
 
 
 class EliasFano:
@@ -53,11 +62,11 @@ class EliasFano:
         bits = max(0, (most // max(n, 1)).bit_length() - 1)
         place = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         length = (int(place[-1]) if n else 0) + 2  # ends with a zero
-        length += -length % (64 * _SPAN)
+        length += -length % 64
         high = np.zeros(length, np.uint8)
         high[place] = 1
         high = np.packbits(high, bitorder="little").view(np.uint64)
-        ones = np.bitwise_count(high).reshape(-1, _SPAN).sum(axis=1, dtype=np.int64)
+        ones = np.bitwise_count(high).astype(np.int64)
         ahead = lambda x: np.concatenate([[0], np.cumsum(x)[:-1]]).astype(np.int64)
         low = np.zeros(n * bits // 64 + 2, np.uint64)
         if bits:
@@ -67,7 +76,7 @@ class EliasFano:
             np.bitwise_or.at(low, word, part << shift)
             over = shift + np.uint64(bits) > np.uint64(64)
             np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
-        return {f"{name}.shape": np.array([n, bits], np.int64), f"{name}.low": low, f"{name}.high": high, f"{name}.ones": ahead(ones), f"{name}.zeros": ahead(64 * _SPAN - ones)}
+        return {f"{name}.shape": np.array([n, bits], np.int64), f"{name}.low": low, f"{name}.high": high, f"{name}.ones": ahead(ones), f"{name}.zeros": ahead(64 - ones)}
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -84,25 +93,52 @@ class EliasFano:
         high = _select(self.high, self.ones, i, False) - i
         return (high << self.bits) | self._low(i).astype(np.int64)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The first place whose value is x or more; n if there is none."""
-        if not len(x):
-            return np.zeros(0, np.int64)
-        last = int(self.get(np.array([self.n - 1]))[0]) if self.n else -1
-        place = np.full(len(x), self.n)
-        inside = np.flatnonzero(x <= last)
-        x = x[inside]
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at places i and i + 1."""
+        if not len(i):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        place = _select(self.high, self.ones, i, False)
+        after = place + 1 + _run(self.high, place + 1, False)
+        low = self._low(np.concatenate([i, i + 1])).astype(np.int64)
+        return ((place - i) << self.bits) | low[: len(i)], ((after - i - 1) << self.bits) | low[len(i) :]
+
+    def _bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First place of x or more among the values of x's high part, the end of those, and x's low part."""
         high, part = x >> self.bits, (x & ((1 << self.bits) - 1)).astype(np.uint64)
-        end = _select(self.high, self.zeros, high, True) - high
-        start = np.zeros(len(x), np.int64)
-        some = high > 0
-        start[some] = _select(self.high, self.zeros, high[some] - 1, True) - (high[some] - 1)
+        some = np.flatnonzero(high > 0)
+        bit = np.zeros(len(x), np.int64)
+        bit[some] = _select(self.high, self.zeros, high[some] - 1, True) + 1
+        start = bit - high
+        end = start + _run(self.high, bit, True)
+        last = end.copy()
         while (open_ := np.flatnonzero(start < end)).size:
             middle = (start[open_] + end[open_]) >> 1
             less = self._low(middle) < part[open_]
             start[open_[less]] = middle[less] + 1
             end[open_[~less]] = middle[~less]
-        place[inside] = start
+        return start, last, part
+
+    def _inside(self, x: np.ndarray) -> np.ndarray:
+        last = int(self.get(np.array([self.n - 1]))[0]) if self.n else -1
+        return np.flatnonzero((x >= 0) & (x <= last))
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """The first place whose value is x or more, for x of 0 or more; n if there is none."""
+        place = np.full(len(x), self.n)
+        inside = self._inside(x)
+        if inside.size:
+            place[inside] = self._bounds(x[inside])[0]
+        return place
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The first place whose value is x; -1 if there is none."""
+        place = np.full(len(x), -1)
+        inside = self._inside(x)
+        if inside.size:
+            at, end, part = self._bounds(x[inside])
+            hit = np.flatnonzero(at < end)
+            hit = hit[self._low(at[hit]) == part[hit]]
+            place[inside[hit]] = at[hit]
         return place
 
 

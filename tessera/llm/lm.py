@@ -85,7 +85,12 @@ def _summed(n: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
     for k in keys:
         new[1:] |= k[1:] != k[:-1]
     at = np.flatnonzero(new)
-    return (*(k[at] for k in keys), np.add.reduceat(n, at) if len(at) else n)
+    return (*(k[at] for k in keys), np.add.reduceat(n, at, dtype=np.int64) if len(at) else n)
+
+
+def _narrow(n: np.ndarray) -> np.ndarray:
+    """Counts in four bytes, if they fit."""
+    return n.astype(np.uint32) if not len(n) or n.max() <= NONE else n
 
 
 def _discount(once: int, twice: int) -> float:
@@ -161,11 +166,8 @@ class Trie:
         place, p, w = np.full(len(keys), -1), np.full(len(keys), ZERO, np.uint16), np.zeros(len(keys), np.uint16)
         for i, s in self._by_part(self.shard_key, keys) if self.shards else ():
             own = self._file(self.shards[i])
-            level = EliasFano(own, "key")
-            x = self._number_of(own, keys[s])
-            at = np.where(x >= 0, level.successor(np.maximum(x, 0)), level.n)
-            inside = np.flatnonzero(at < level.n)
-            inside = inside[level.get(at[inside]) == x[inside]]
+            at = EliasFano(own, "key").find(self._number_of(own, keys[s]))
+            inside = np.flatnonzero(at >= 0)
             at, to = at[inside], s.start + inside
             place[to], p[to], w[to] = at + self.shard_first[i], own["p2"][at], own["w3"][at]
         return place, p, w
@@ -177,15 +179,13 @@ class Trie:
         for i, s in self._by_part(self.shard_first[:-1], context) if self.shards else ():
             own = self._file(self.shards[i])
             at, child, level = context[s] - self.shard_first[i], EliasFano(own, "child"), EliasFano(own, "rank")
-            start, end = child.get(at), child.get(at + 1)
+            start, end = child.pair(at)
             some = np.flatnonzero(start < end)
             start, end = start[some], end[some]
             # ranks go on from the last one of the context before
             base = np.where(start > 0, level.get(np.maximum(start - 1, 0)), 0)
-            x = base + 1 + rank[s][some]
-            found = level.successor(x)
-            hit = np.flatnonzero(found < end)
-            hit = hit[level.get(found[hit]) == x[hit]]
+            found = level.find(base + 1 + rank[s][some])
+            hit = np.flatnonzero((found >= 0) & (found < end))
             out[s.start + some[hit]] = own["p3"][found[hit]]
         return out
 
@@ -315,11 +315,12 @@ def _counts(texts: DataFrame, trie: Trie) -> list:
         del found
         keys, third, n = _summed(n, keys, third)
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        bigrams, n2 = keys[first], np.add.reduceat(n, first)
+        bigrams, n2 = keys[first], np.add.reduceat(n, first, dtype=np.int64)
         real = third != NONE
         stay = np.flatnonzero(real & (n >= LEAST_TRIGRAM))
         shard = int(pdf["shard"].iloc[0])
-        save(f"{folder}/{shard}.counts", {"key": bigrams, "n": n2, "context": (np.searchsorted(first, stay, side="right") - 1).astype(np.uint32), "third": third[stay], "n3": n[stay]})
+        context = (np.searchsorted(first, stay, side="right") - 1).astype(np.uint32)
+        save(f"{folder}/{shard}.counts", {"key": bigrams, "n": _narrow(n2), "context": context, "third": third[stay], "n3": _narrow(n[stay])})
         row = (shard, cuts[shard], len(bigrams), (n2 == 1).sum(), (n2 == 2).sum(), (real & (n == 1)).sum(), (real & (n == 2)).sum())
         return pd.DataFrame([row], columns=["shard", "least", "bigrams", "once2", "twice2", "once3", "twice3"])
 
