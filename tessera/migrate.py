@@ -14,6 +14,7 @@ from tessera.errors import QueryError
 from tessera.ir import Change, Diff, diff, ensure_ids, from_ir, normalize, to_ir, validate
 from tessera.naming import child_table, snake
 from tessera.operators.writer import Writer, table_schemas
+from tessera.plans.scopes import Scope, from_stored, to_stored
 from tessera.schema import Entity, resolve
 
 
@@ -71,6 +72,31 @@ class Catalog:
     def entities(self) -> dict[str, Entity]:
         return from_ir(self.irs.values())
 
+    # scopes --------------------------------------------------------------------------------------------------------
+
+    def save_scope(self, scope: Scope) -> None:
+        """Keeps a scope by field ids, beside the entities."""
+        stored = self._scopes() | {scope.name: to_stored(scope, self.entities())}
+        stream = self.store._files.create(self.store._path("scopes.json"), True)
+        stream.write(bytearray(json.dumps(stored).encode()))
+        stream.close()
+
+    def scope(self, name: str) -> Scope:
+        """A kept scope, under the names that its fields have now."""
+        if name not in self._scopes():
+            raise QueryError(f"there is no scope {name}")
+        return from_stored(self._scopes()[name], self.entities())
+
+    def _scopes(self) -> dict[str, Any]:
+        path = self.store._path("scopes.json")
+        if not self.store._files.exists(path):
+            return {}
+        stream = self.store._files.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
     # plan ----------------------------------------------------------------------------------------------------------
 
     def plan(self, entity: Entity | Mapping[str, Any], fill: Mapping[str, Any] | None = None) -> Diff:

@@ -8,6 +8,7 @@ from tessera import schema as s
 from tessera.engine import Engine
 from tessera.errors import QueryError
 from tessera.functions import avg, count, div, first, histogram, max_, percentile, sum_
+from tessera.functions.filters import condition
 from tessera.sources.binding import Binding
 
 T0 = dt.datetime(2024, 1, 1)
@@ -111,6 +112,18 @@ def test_bad_lists(e, where):
         engine.find(owner, where)
 
 
+def test_words(e):
+    engine, owner, thing = e
+    find = lambda kind, *how: ids(engine.find(kind, condition(*how)))
+    n, at, name = thing.shape["n"], thing.shape["at"], owner.shape["name"]
+    assert find(thing, "n", n, "notEquals", 5) == [3] and find(thing, "n", n, "isEmpty") == [2] and find(thing, "n", n, "gte", 6) == [3]
+    assert find(thing, "at", at, "on", "2024-01-01T15:00:00") == [1, 3, 4] and find(thing, "at", at, "before", "2024-01-01") == [] and find(thing, "at", at, "after", "2023-12-31") == [1, 3, 4]
+    assert find(owner, "name", name, "contains", "A") == [1] and find(owner, "name", name, "startsWith", "_") == []
+    assert find(owner, "tags", owner.shape["tags"], "startsWith", "X") == [1]
+    with pytest.raises(QueryError):
+        condition("n", n, "contains", 5)
+
+
 def test_null_order(e):
     engine, _, thing = e
     order = lambda how: [r["id"] for r in engine.find(thing, order_by=how).collect()]

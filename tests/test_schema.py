@@ -9,6 +9,8 @@ from tessera.errors import QueryError
 from tessera.ir import diff, ensure_ids, from_ir, normalize, to_ir, validate
 from tessera.migrate import Catalog, check, drift, topological
 from tessera.operators.writer import Writer
+from tessera.plans.scopes import define_scope, scope_rule
+from tessera.sources.catalog import columns, statistics
 from tessera.streaming import accumulate_stream, bucket_counts
 
 
@@ -104,6 +106,11 @@ def test_migration(spark, tmp_path):
     unique = {f: n for f, n in now.shape.items()} | {"title": now.shape["title"].unique()}
     assert again.plan(entity(unique)).changes[0].risk == "blocked"
     assert again.plan(entity(unique | {"title": now.shape["title"], "b": now.shape["b"].unique()})).changes[0].risk == "auto"
+    again.save_scope(define_scope("mine", [scope_rule(now, where={"title": {"param": "who"}})]))
+    assert Catalog(Writer(spark, folder)).scope("mine").rules["item"].where == {"title": {"param": "who"}}
+    (found,) = statistics(again.writer)
+    assert (found.objects, found.tables, found.partitions, found.fields) == (2, 2, 0, 4) and found.bytes > 0
+    assert {"id", "title", "b"} <= set(columns(again.writer, "item"))
     fewer = entity({"title": now.shape["title"]})
     assert not again.apply(fewer).done and again.apply(fewer, confirm=True).done
     assert again.writer.find("item").columns == ["id", "title", "createdAt", "updatedAt"]
