@@ -225,8 +225,10 @@ def near_classes(docs: DataFrame, radius: int = 13, size: int = 3, shingle: int
     texts = kept(texts, "shingles")
     whole = texts.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("m"))
     chunks = F.ceil(F.greatest(F.col("n") / group, F.col("m") / (group * 1024))).alias("chunks")
-    tiles = texts.join(whole.select("root", chunks), "root").withColumn("chunk", F.pmod(F.xxhash64("key"), "chunks"))
-    tiles = kept(tiles.groupBy("root", "chunk").agg(F.first("chunks").alias("chunks"), F.collect_list(F.struct("id", "fp", "shingles")).alias("tile")), "tiles")
+    chunks = small_side(kept(whole.select("root", chunks), "chunks"))
+    tiles = texts.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("key"), "chunks"))
+    # dealt by both, so that a large component isn't one task's
+    tiles = kept(tiles.repartition("root", "chunk").groupBy("root", "chunk").agg(F.first("chunks").alias("chunks"), F.collect_list(F.struct("id", "fp", "shingles")).alias("tile")), "tiles")
     pairs = tiles.select(F.col("root").alias("root_a"), F.col("chunk").alias("chunk_a"), F.col("root").alias("root_b"), F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)).alias("chunk_b"))
     both = _pairs(tiles.select("root", "chunk", "tile"), pairs, ["root", "chunk"]).select("tile_a", "tile_b", "same")
     links = components(kept(both.mapInPandas(_similar(radius, least), "u long, v long"), "links"))
