@@ -1,4 +1,4 @@
-"""Near duplicates by SimHash: tiled exact comparison of fingerprints.
+"""Near duplicates by SimHash: tiled exact comparison of fingerprints; and by Jaccard similarity, with a prefix join.
 
 Fingerprints are packed into tiles by their population counts. Two tiles are compared, by exclusive-or and bit counts in
 numpy, only if their population counts lie within the radius; two fingerprints whose counts differ by more can't be
@@ -9,7 +9,9 @@ more than the distance), which skips far more pairs than the count of all 64 bit
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
+from functools import lru_cache
+from itertools import chain, product
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -17,14 +19,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import kept, small_side, text_key
+from tessera.llm.common import kept, shared_folder, small_side, text_key
 from tessera.llm.components import components
+from tessera.llm.elias_fano import load, save
+from tessera.llm.lm import _pack, _unpack
 
 SEED = 42
 #: Fingerprints of a tile, in the mean; a tile of a hot cell is cut by a hash.
 TILE = 32768
 #: Up to this radius the tiles go by the population counts of quarters.
 QUARTERS_TO = 4
+#: Shingles between two sorts of a task, bytes of text to a part of the shared shingles, bits of a hash that are left out there.
+FLUSH = 1_000_000
+PART_BYTES = 16 << 20
+SHORT = np.uint64(24)
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -115,21 +123,42 @@ def _linked(radius: int):
     return run
 
 
-def _similar(radius: int, least: float):
+def _meeting(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of the pairs that have a token in common, token by token."""
+    flat, at = [np.concatenate([np.zeros(0, np.int64), *t]) for t in (a, b)], [np.repeat(np.arange(len(t)), [len(x) for x in t]) for t in (a, b)]
+    order = [np.argsort(f, kind="stable") for f in flat]
+    flat, at = [f[o] for f, o in zip(flat, order, strict=True)], [x[o] for x, o in zip(at, order, strict=True)]
+    common = np.intersect1d(*flat)
+    ends = [(np.searchsorted(f, common), np.searchsorted(f, common, side="right")) for f in flat]
+    for i0, i1, j0, j1 in zip(*ends[0], *ends[1], strict=True):
+        i, j = np.repeat(at[0][i0:i1], j1 - j0), np.tile(at[1][j0:j1], i1 - i0)
+        yield (i[i < j], j[i < j]) if same else (i, j)
+
+
+def _similar(least: float):
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """As _linked, of the pairs whose shingle sets have a Jaccard similarity of `least` or more."""
+        """As _linked, of the pairs with a token in common whose shingle sets have a Jaccard similarity of `least` or
+        more."""
         for pdf in pdfs:
             out = [pd.DataFrame({"u": [], "v": []}, dtype="int64")]
             for a, b, same in zip(pdf["tile_a"], pdf["tile_b"], pdf["same"], strict=True):
                 id_a, id_b = (np.array([x["id"] for x in t], np.int64) for t in (a, b))
-                fp_a, fp_b = (np.array([x["fp"] for x in t], np.int64).view(np.uint64) for t in (a, b))
                 sets_a, sets_b = ([np.asarray(x["shingles"]) for x in t] for t in (a, b))
+                tokens_a, tokens_b = ([np.asarray(x["tokens"], np.int64) for x in t] for t in (a, b))
                 nodes = np.unique(np.concatenate([id_a, id_b]))
                 at_a, at_b, root = np.searchsorted(nodes, id_a), np.searchsorted(nodes, id_b), np.arange(len(nodes))
-                for i, j in _near(fp_a, fp_b, same, radius):
-                    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                        if root[at_a[x]] != root[at_b[y]] and jaccard(sets_a[x], sets_b[y]) >= least:
+                seen = set()  # pairs that were compared and are not alike
+                for i, j in _meeting(tokens_a, tokens_b, same):
+                    apart = root[at_a[i]] != root[at_b[j]]
+                    for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+                        small, large = sorted((len(sets_a[x]), len(sets_b[y])))
+                        # a pair of sizes this far apart can't be alike
+                        if root[at_a[x]] == root[at_b[y]] or small < least * large - 1e-6 or (x, y) in seen:
+                            continue
+                        if jaccard(sets_a[x], sets_b[y]) >= least:
                             root = _merge(root, at_a[x : x + 1], at_b[y : y + 1])
+                        else:
+                            seen.add((x, y))
                 if (root != np.arange(len(root))).any():
                     out.append(_stars(nodes, root))
             yield pd.concat(out)
@@ -185,6 +214,96 @@ def candidate_links(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFram
     return both.mapInPandas(_linked(radius), "u long, v long")
 
 
+@lru_cache(maxsize=4096)
+def _mapped(path: str) -> np.ndarray:
+    return load(path)["shingle"]
+
+
+def _sets(texts: Iterator[pd.Series], size: int) -> Iterator[list[np.ndarray]]:
+    """Sorted distinct shingles of each text, of about FLUSH shingles at a time."""
+    sets, n = [], 0
+    for text in chain.from_iterable(texts):
+        sets.append(np.unique(shingle_hashes(text, size)))
+        n += len(sets[-1])
+        if n >= FLUSH:
+            yield sets
+            sets, n = [], 0
+    if sets:
+        yield sets
+
+
+def _shared_shingles(texts: DataFrame, size: int) -> tuple[list[str], np.ndarray]:
+    """Files with the leading bits of all shingles that two rows of texts or more have, in order, and the cuts between
+    them. A shingle that only has its leading bits in common with another may be among them."""
+    spark, parts = texts.sparkSession, 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
+    folder = shared_folder(spark, "shingles")
+    cuts = np.array([(-(-(i << 64) // parts)) >> int(SHORT) for i in range(1, parts)], np.uint64)
+
+    def count(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for sets in _sets((pdf["text"] for pdf in pdfs), size):
+            found, n = np.unique(np.concatenate(sets) >> SHORT, return_counts=True)
+            ends = np.append(np.searchsorted(found, cuts), len(found))
+            n = np.minimum(n, 2).astype(np.uint8)
+            out = [(p, b - a, _pack(found[a:b], n[a:b])) for p, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)) if a < b]
+            yield pd.DataFrame(out, columns=["part", "n", "data"])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        found, n = (np.concatenate(x) for x in zip(*[_unpack(d, k, np.uint64, np.uint8) for d, k in zip(pdf["data"], pdf["n"], strict=True)], strict=True))
+        twice, found = found[n > 1], np.sort(found)
+        part = int(pdf["part"].iloc[0])
+        save(f"{folder}/{part}.shared", {"shingle": np.unique(np.concatenate([twice, found[1:][found[1:] == found[:-1]]]))})
+        return pd.DataFrame({"part": [part]})
+
+    rows = texts.mapInPandas(count, "part int, n int, data binary").groupBy("part").applyInPandas(merge, "part int").collect()
+    for p in set(range(parts)) - {r.part for r in rows}:
+        save(f"{folder}/{p}.shared", {"shingle": np.zeros(0, np.uint64)})
+    return [f"{folder}/{p}.shared" for p in range(parts)], cuts
+
+
+def prefixes(docs: DataFrame, size: int, least: float) -> DataFrame:
+    """(id, tokens) of texts (id, text): if the shingle sets of two texts have a Jaccard similarity of `least` or more,
+    they have a token in common; texts without tokens are left out.
+
+    Two such sets have least * n shingles in common at least, n the size of either. So, in whatever order all shingles
+    are, the first n - least * n + 1 of each set meet. The order begins with shingles that one text alone has: they
+    meet nothing and aren't given, so that a text with enough of them has no tokens.
+    """
+    files, cuts = _shared_shingles(docs, size)
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            at = 0
+            for sets in _sets(iter([pdf["text"]]), size):
+                every = np.concatenate(sets)
+                order = np.argsort(every)
+                asked, shared = every[order] >> SHORT, np.zeros(len(every), bool)
+                ends = np.append(np.searchsorted(asked, cuts), len(asked))
+                for file, a, b in zip(files, np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+                    known = _mapped(file) if a < b else ()
+                    if len(known):
+                        to = np.minimum(np.searchsorted(known, asked[a:b]), len(known) - 1)
+                        shared[order[a:b]] = known[to] == asked[a:b]
+                tokens, end = [], 0
+                for s in sets:
+                    own = s[shared[end : end + len(s)]]
+                    end += len(s)
+                    first = len(s) - ceil(least * len(s) - 1e-6) + 1
+                    tokens.append(own[: max(0, first - (len(s) - len(own)))].view(np.int64))
+                out = pd.DataFrame({"id": pdf["id"].iloc[at : at + len(sets)].to_numpy(), "tokens": tokens})
+                at += len(sets)
+                yield out[[len(t) > 0 for t in tokens]]
+
+    return docs.mapInPandas(run, "id long, tokens array<long>").dropDuplicates(["id"])
+
+
+def token_links(tokens: DataFrame) -> DataFrame:
+    """Links (u, v) that have the components of all rows (id, tokens) with a token in common: of each token, every row
+    with the smallest."""
+    rows = tokens.select("id", F.explode("tokens").alias("token"))
+    low = rows.groupBy("token").agg(F.min("id").alias("v"), F.max("id").alias("most")).where("v < most").select("token", "v")
+    return rows.join(small_side(kept(low, "lows")), "token").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
+
+
 def fingerprint_classes(docs: DataFrame, radius: int = 3, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row: doc_id, fingerprint (long), component_id (the smallest id reachable over fingerprints that differ
     in `radius` bits or fewer, itself included).
@@ -201,38 +320,37 @@ def fingerprint_classes(docs: DataFrame, radius: int = 3, size: int = 3, id_col:
     return rows.join(small_side(named), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def near_classes(docs: DataFrame, radius: int = 13, size: int = 3, shingle: int = 5, least: float = 0.8, text_col: str = "text", group: int = 256) -> DataFrame:
+def near_classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, text_col: str = "text", group: int = 256) -> DataFrame:
     """(key: text_key of a text, class): equal for texts that near duplicates link, over any number of steps.
 
-    Near duplicates: fingerprints over `size` words within `radius` bits, and a Jaccard similarity of `least` or more
-    over the sets of `shingle` words (a shorter text: one shingle). Texts without a near duplicate are left out. Blank
-    texts are alike. Only texts that have a candidate are compared by their shingles, in tiles of about `group` texts
-    of one candidate component, so no pairs are written out; a component of g texts takes (g / group) ** 2 / 2 tile
-    pairs.
+    Near duplicates: a Jaccard similarity of `least` or more over the sets of `shingle` words (a shorter text: one
+    shingle). Texts without a near duplicate are left out. Blank texts are alike. Candidates are all texts that have a
+    token in common (see prefixes), which misses no pair, as a radius of fingerprints would. Only texts that have a
+    candidate are compared by their shingles, in tiles of about `group` texts of one candidate component, so no pairs
+    are written out; a component of g texts takes (g / group) ** 2 / 2 tile pairs.
     """
-    key = text_key(F.col(text_col))
-    rows = docs.select(key.alias("key"), fingerprint(F.col(text_col), size).alias("fp"))
-    nodes = kept(rows.groupBy("key").agg(F.first("fp").alias("fp")).withColumn("id", F.xxhash64("key")), "nodes")
-    some = components(kept(candidate_links(nodes, radius), "links"))
-    some = kept(nodes.join(some, nodes["id"] == some["node"]).select("id", "key", "fp", "root"), "candidates")
+    keyed = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).withColumn("id", F.xxhash64("key"))
+    tokens = kept(prefixes(keyed.select("id", "text"), shingle, least), "tokens")
+    some = components(kept(token_links(tokens), "links"))
+    some = kept(some.select(F.col("node").alias("id"), "root").join(tokens, "id"), "candidates")
 
     @F.pandas_udf("array<long>")
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(t, shingle).view(np.int64)) for t in texts])
 
-    texts = docs.select(key.alias("key"), F.col(text_col).alias("text")).join(small_side(some), "key")
-    texts = texts.select("id", "key", "fp", "root", shingles("text").alias("shingles")).dropDuplicates(["id"])
-    texts = kept(texts, "shingles")
+    texts = keyed.join(small_side(some.select("id", "root")), "id")
+    texts = texts.select("id", "key", "root", shingles("text").alias("shingles")).dropDuplicates(["id"])
+    texts = kept(texts.join(some.select("id", "tokens"), "id"), "shingles")
     whole = texts.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("m"))
     chunks = F.ceil(F.greatest(F.col("n") / group, F.col("m") / (group * 1024))).alias("chunks")
     chunks = small_side(kept(whole.select("root", chunks), "chunks"))
     tiles = texts.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("key"), "chunks"))
     # dealt by both, so that a large component isn't one task's
-    tiles = kept(tiles.repartition("root", "chunk").groupBy("root", "chunk").agg(F.first("chunks").alias("chunks"), F.collect_list(F.struct("id", "fp", "shingles")).alias("tile")), "tiles")
+    tiles = kept(tiles.repartition("root", "chunk").groupBy("root", "chunk").agg(F.first("chunks").alias("chunks"), F.collect_list(F.struct("id", "shingles", "tokens")).alias("tile")), "tiles")
     pairs = tiles.select(F.col("root").alias("root_a"), F.col("chunk").alias("chunk_a"), F.col("root").alias("root_b"), F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)).alias("chunk_b"))
     both = _pairs(tiles.select("root", "chunk", "tile"), pairs, ["root", "chunk"]).select("tile_a", "tile_b", "same")
-    links = components(kept(both.mapInPandas(_similar(radius, least), "u long, v long"), "links"))
-    return kept(some.join(links, some["id"] == links["node"]).select("key", links["root"].alias("class")), "classes")
+    links = components(kept(both.mapInPandas(_similar(least), "u long, v long"), "links"))
+    return kept(texts.join(links, texts["id"] == links["node"]).select("key", links["root"].alias("class")), "classes")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -288,3 +288,24 @@ def test_toxicity(spark, rng, awkward, empty):
     assert toxicity.score(awkward, model).count() == len(AWKWARD) + 3 and toxicity.score(empty, model).count() == 0
     assert toxicity.train(docs, marks.limit(0)).score("x") == 0.5
     assert toxicity.train(docs, marks.where("toxic = 0")).score("x") < 0.5
+
+
+def test_near_duplicates_with_far_fingerprints(spark, rng, monkeypatch):
+    """Tails and repeated passages just above the threshold, whatever the distance of the fingerprints."""
+    for name, value in (("FLUSH", 3000), ("PART_BYTES", 9000)):
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    sets = lambda t: set(zip(*(blank_words(t)[k:] for k in range(5)), strict=False)) or {tuple(blank_words(t))}
+    alike = lambda a, b: len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+    texts = []
+    for i in range(60):
+        words = [f"w{rng.randrange(9999)}" for _ in range(rng.randint(40, 400))]
+        cut = max(1, int(0.8 * (len(words) - 4)) + 4 + rng.choice([-2, 0, 1, 2]))
+        other = words[:cut] if i % 3 == 0 else words + [f"t{rng.randrange(9999)}" for _ in range(len(words) // 4 - 2)] if i % 3 == 1 else words + words[:25] * 8
+        texts += [" ".join(words), " ".join(other)]
+    texts += [texts[0], "a b", "a b c", "a  B", "a b c d e f", "a b c d e g"]
+    far = sum((simhash.fingerprint_of(simhash.shingle_hashes(a, 3)) ^ simhash.fingerprint_of(simhash.shingle_hashes(b, 3))).__and__((1 << 64) - 1).bit_count() > 13 for a, b in zip(texts[:120:2], texts[1:120:2], strict=True) if alike(a, b) >= 0.8)
+    assert far > 5
+    links = [(a, b) for a, b in combinations(range(len(texts)), 2) if alike(texts[a], texts[b]) >= 0.8]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for how in ({}, {"group": 3}):
+        assert sorted(r.doc_id for r in simhash.keep_one(docs, **how).collect()) == sorted(set(groups(list(range(len(texts))), links).values()))
