@@ -1,7 +1,7 @@
 """Language-model scoring with a 3-gram trie in Elias-Fano levels.
 
 Level 1 is the vocabulary in the order of the words' hashes, with counts and pointers to level 2. Level 2 has all
-bigrams in order, as shards of about equal size; level 3 the trigrams of two occurrences or more, each word as its rank
+bigrams in order, as shards of about equal size; level 3 the trigrams, each word as its rank
 among the successors of the word before it. Probabilities are interpolated absolute discounting, two bytes each on a
 log scale. All levels lie in files of the shared folder that tasks map into memory.
 
@@ -19,10 +19,11 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import packed, shared_folder
+from tessera.llm.common import packed, shared_folder, store
 from tessera.llm.elias_fano import EliasFano, load, save
 
 #: Hash of the end of a text; no word has white space.
@@ -35,6 +36,7 @@ SHARD = 3_000_000
 #: A probability's code of 16 bits counts steps of 1/4096 below 1 in log10, rounded down so that sums stay below 1.
 STEP = 4096.0
 ZERO = (1 << 16) - 1
+#: Unless asked otherwise; op8_score asks for all trigrams.
 LEAST_TRIGRAM = 2
 
 
@@ -89,8 +91,8 @@ def _summed(n: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _narrow(n: np.ndarray) -> np.ndarray:
-    """Counts in four bytes, if they fit."""
-    return n.astype(np.uint32) if not len(n) or n.max() <= NONE else n
+    """Counts in one, two or four bytes, if they fit."""
+    return next((n.astype(k) for k in (np.uint8, np.uint16, np.uint32) if not len(n) or n.max() <= np.iinfo(k).max), n)
 
 
 def _discount(once: int, twice: int) -> float:
@@ -193,8 +195,9 @@ class Trie:
 _MAPPED: dict[tuple[str, str], dict[str, np.ndarray]] = {}
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Trie:
-    """A model of all rows of docs; null texts are empty. Every word and bigram counts, and trigrams from two on."""
+def train(docs: DataFrame, text_col: str = "text", least_trigram: int = LEAST_TRIGRAM) -> Trie:
+    """A model of all rows of docs; null texts are empty. Every word and bigram counts, and trigrams that occur
+    `least_trigram` times or more: with 1 all of them, rarer ones are left to backing off."""
     spark = docs.sparkSession
     trie = Trie(shared_folder(spark, "trie"))
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -202,7 +205,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Trie:
     if not trie.texts:
         return trie
     _vocabulary(texts, trie, 1 + size // PART_BYTES)
-    rows = _counts(texts, trie)
+    rows = _counts(texts, trie, least_trigram)
     trie.shards, trie.shard_key = [f"{r.shard}.ngrams" for r in rows], [r.least for r in rows]
     trie.shard_first = [0, *np.cumsum([r.bigrams for r in rows]).tolist()]
     total = lambda name: sum(r[name] for r in rows)
@@ -289,8 +292,8 @@ def _cuts(trie: Trie, shards: int) -> list[int]:
     return [0, *sorted(out - {0})]
 
 
-def _counts(texts: DataFrame, trie: Trie) -> list:
-    """Writes counted bigrams and frequent trigrams by shard; returns a row for each shard."""
+def _counts(texts: DataFrame, trie: Trie, least_trigram: int) -> list:
+    """Writes counted bigrams and trigrams by shard; returns a row for each shard."""
     cuts = _cuts(trie, 1 + trie.tokens // SHARD)
     inner = np.array(cuts[1:], np.uint64)
 
@@ -317,10 +320,11 @@ def _counts(texts: DataFrame, trie: Trie) -> list:
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         bigrams, n2 = keys[first], np.add.reduceat(n, first, dtype=np.int64)
         real = third != NONE
-        stay = np.flatnonzero(real & (n >= LEAST_TRIGRAM))
+        stay = np.flatnonzero(real & (n >= least_trigram))
         shard = int(pdf["shard"].iloc[0])
         context = (np.searchsorted(first, stay, side="right") - 1).astype(np.uint32)
-        save(f"{folder}/{shard}.counts", {"key": bigrams, "n": _narrow(n2), "context": context, "third": third[stay], "n3": _narrow(n[stay])})
+        save(f"{folder}/{shard}.counts", {"key": bigrams})
+        save(f"{folder}/{shard}.own", {"n": _narrow(n2), "context": context, "third": third[stay], "n3": _narrow(n[stay])})
         row = (shard, cuts[shard], len(bigrams), (n2 == 1).sum(), (n2 == 2).sum(), (real & (n == 1)).sum(), (real & (n == 2)).sum())
         return pd.DataFrame([row], columns=["shard", "least", "bigrams", "once2", "twice2", "once3", "twice3"])
 
@@ -357,7 +361,11 @@ def _levels(spark, trie: Trie) -> None:
     _, d2, d3 = trie.discounts
 
     def work(i: int) -> tuple:
-        raw = _raw(trie, i)
+        own = f"{trie.folder}/{trie.shards[i].replace('.ngrams', '.own')}"
+        files, path = store(own)
+        if files.get_file_info(path).type == fs.FileType.NotFound:  # a task that runs again, after its levels were saved
+            return (i,)
+        raw = _raw(trie, i) | load(own)
         keys, n2, context, third, n3 = (raw[x] for x in ("key", "n", "context", "third", "n3"))
         lead = (keys >> np.uint64(32)).astype(np.int64)
         out = {"origin": lead[:1].copy()}
@@ -379,6 +387,7 @@ def _levels(spark, trie: Trie) -> None:
         group = np.cumsum(np.append(False, context[1:] != context[:-1])) if len(context) else context
         out |= EliasFano.encode(base[group] + rank + 1, "rank")
         save(f"{trie.folder}/{trie.shards[i]}", out)
+        files.delete_file(path)  # no other shard reads it
         return (i,)
 
     _run(spark, len(trie.shards), work, "id long")

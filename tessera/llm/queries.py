@@ -61,7 +61,7 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document, learned from six sevenths of the ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    trie = lm.train(docs.where(~held_out(F.col("doc_id"), 7, 2)))
+    trie = lm.train(docs.where(~held_out(F.col("doc_id"), 7, 2)), least_trigram=1)
     found = lm.score(docs, trie, keep=["doc_id"])
     return found.select("row.doc_id", held_out(F.col("row.doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

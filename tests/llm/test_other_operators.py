@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, forest, lm, warc
+from tessera.llm import chat, forest, lm, queries, warc
 from tessera.llm.common import shared_folder
 from tessera.llm.elias_fano import EliasFano, load, save
 
@@ -263,3 +263,27 @@ def test_language_model_of_nothing(spark, awkward, empty):
     rows = lm.score(awkward, trie).collect()
     assert len(rows) == len(AWKWARD) + 3 and all(r.train_tokens == 0 and r.n_known == 0 and r.score == 0 for r in rows)
     assert lm.score(empty, lm.train(awkward)).count() == 0
+
+
+class Whole(Plain):
+    """With the trigrams that occur once."""
+
+    def p(self, u, v, w, start):
+        p = super().p(u, v, w, True)
+        if not start and self.c2[u, v]:
+            follow = [n for k, n in self.c3.items() if k[:2] == (u, v)]
+            n = self.c3[u, v, w]
+            p = max(0, n - self.d3) / self.c2[u, v] + (1 - sum(x - self.d3 for x in follow) / self.c2[u, v]) * p
+        return p
+
+
+def test_language_model_query_keeps_all_trigrams(spark, rng, tmp_path):
+    texts = [prose(rng, rng.randint(0, 60)) for _ in range(80)] + ["Same Words here", "same words HERE", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op8_score(spark, str(tmp_path)).collect()
+    plain = Whole([texts[r.doc_id] for r in rows if not r.held_out])
+    assert len(rows) == len(texts) and {r.held_out for r in rows} == {True, False}
+    assert sum(n == 1 for n in plain.c3.values()) > 100
+    for r in rows:
+        assert abs(r.score - plain.score(texts[r.doc_id])) < 1e-3 * r.n_tokens
