@@ -168,3 +168,23 @@ def load(uri: str) -> dict[str, np.ndarray]:
         count = int(np.prod(shape)) * np.dtype(kind).itemsize
         out[name] = np.asarray(data[at : at + count]).view(kind).reshape(shape)
     return out
+
+
+#: Bytes of the files that held() keeps, mapped or read.
+HELD_BYTES = 512 << 20
+_held: dict[str, dict[str, np.ndarray]] = {}
+
+
+def held(uri: str) -> dict[str, np.ndarray]:
+    """load(), and keeps the files that were used last, HELD_BYTES of them at most."""
+    if uri in _held:
+        _held[uri] = _held.pop(uri)
+        return _held[uri]
+    own = load(uri)
+    size = lambda arrays: sum(a.nbytes for a in arrays.values())
+    total = sum(map(size, _held.values())) + size(own)
+    for old in list(_held) if total > HELD_BYTES else ():
+        if total > HELD_BYTES // 2:
+            total -= size(_held.pop(old))
+    _held[uri] = own
+    return own

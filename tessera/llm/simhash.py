@@ -9,7 +9,7 @@ more than the distance), which skips far more pairs than the count of all 64 bit
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
 from itertools import chain, product
 from math import ceil
 
@@ -19,9 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import kept, shared_folder, small_side, text_key
+from tessera.llm.common import BLANKS, kept, shared_folder, small_side, text_key
 from tessera.llm.components import components
-from tessera.llm.elias_fano import load, save
+from tessera.llm.elias_fano import held, save
 from tessera.llm.lm import _pack, _unpack
 
 SEED = 42
@@ -123,53 +123,71 @@ def _linked(radius: int):
     return run
 
 
-def _meeting(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices of the pairs that have a token in common, token by token."""
-    flat, at = [np.concatenate([np.zeros(0, np.int64), *t]) for t in (a, b)], [np.repeat(np.arange(len(t)), [len(x) for x in t]) for t in (a, b)]
+@dataclass
+class Tile:
+    """Texts side by side: ids, and of all of them in turn shingles (sorted, distinct) and tokens (see prints)."""
+
+    ids: np.ndarray
+    sets: list[np.ndarray]
+    tokens: list[np.ndarray]
+
+    @staticmethod
+    def of(pdf: pd.DataFrame) -> Tile:
+        pdf = pdf.drop_duplicates("id")
+        return Tile(pdf["id"].to_numpy(np.int64), [np.frombuffer(x, np.uint64) for x in pdf["shingles"]], [np.frombuffer(x, np.uint64) for x in pdf["tokens"]])
+
+    def save(self, path: str) -> None:
+        flat = lambda parts: {"of": np.array([len(p) for p in parts], np.int64), "all": np.concatenate([np.zeros(0, np.uint64), *parts])}
+        save(path, {"ids": self.ids} | {f"{n}.{k}": v for n, parts in (("sets", self.sets), ("tokens", self.tokens)) for k, v in flat(parts).items()})
+
+    @staticmethod
+    def load(path: str) -> Tile:
+        own = held(path)
+        parts = lambda n: np.split(own[f"{n}.all"], np.cumsum(own[f"{n}.of"])[:-1])
+        return Tile(own["ids"], parts("sets"), parts("tokens"))
+
+
+def _meeting(a: Tile, b: Tile) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each token of both tiles, who has it in a and in b."""
+    flat, at = [np.concatenate(t.tokens) for t in (a, b)], [np.repeat(np.arange(len(t.ids)), [len(x) for x in t.tokens]) for t in (a, b)]
     order = [np.argsort(f, kind="stable") for f in flat]
     flat, at = [f[o] for f, o in zip(flat, order, strict=True)], [x[o] for x, o in zip(at, order, strict=True)]
     common = np.intersect1d(*flat)
     ends = [(np.searchsorted(f, common), np.searchsorted(f, common, side="right")) for f in flat]
     for i0, i1, j0, j1 in zip(*ends[0], *ends[1], strict=True):
-        i, j = np.repeat(at[0][i0:i1], j1 - j0), np.tile(at[1][j0:j1], i1 - i0)
-        yield (i[i < j], j[i < j]) if same else (i, j)
-
-
-def _similar(least: float):
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """As _linked, of the pairs with a token in common whose shingle sets have a Jaccard similarity of `least` or
-        more."""
-        for pdf in pdfs:
-            out = [pd.DataFrame({"u": [], "v": []}, dtype="int64")]
-            for a, b, same in zip(pdf["tile_a"], pdf["tile_b"], pdf["same"], strict=True):
-                id_a, id_b = (np.array([x["id"] for x in t], np.int64) for t in (a, b))
-                sets_a, sets_b = ([np.asarray(x["shingles"]) for x in t] for t in (a, b))
-                tokens_a, tokens_b = ([np.asarray(x["tokens"], np.int64) for x in t] for t in (a, b))
-                nodes = np.unique(np.concatenate([id_a, id_b]))
-                at_a, at_b, root = np.searchsorted(nodes, id_a), np.searchsorted(nodes, id_b), np.arange(len(nodes))
-                seen = set()  # pairs that were compared and are not alike
-                for i, j in _meeting(tokens_a, tokens_b, same):
-                    apart = root[at_a[i]] != root[at_b[j]]
-                    for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
-                        small, large = sorted((len(sets_a[x]), len(sets_b[y])))
-                        # a pair of sizes this far apart can't be alike
-                        if root[at_a[x]] == root[at_b[y]] or small < least * large - 1e-6 or (x, y) in seen:
-                            continue
-                        if jaccard(sets_a[x], sets_b[y]) >= least:
-                            root = _merge(root, at_a[x : x + 1], at_b[y : y + 1])
-                        else:
-                            seen.add((x, y))
-                if (root != np.arange(len(root))).any():
-                    out.append(_stars(nodes, root))
-            yield pd.concat(out)
-
-    return run
+        yield at[0][i0:i1], at[1][j0:j1]
+
+
+def _alike(a: Tile, b: Tile, class_a: np.ndarray, class_b: np.ndarray, least: float) -> pd.DataFrame:
+    """Links (u, v) that join the classes of all pairs (one of a, one of b) that have a token in common and whose
+    shingle sets have a Jaccard similarity of `least` or more. Pairs that are linked already aren't looked at."""
+    nodes = np.unique(np.concatenate([class_a, class_b]))
+    at_a, at_b, root = np.searchsorted(nodes, class_a), np.searchsorted(nodes, class_b), np.arange(len(nodes))
+    size_a, size_b = (np.array([len(s) for s in t.sets]) for t in (a, b))
+    seen = set()  # pairs that were compared and are not alike
+    for i, j in _meeting(a, b):
+        if (root[at_a[i]] == root[at_a[i[0]]]).all() and (root[at_b[j]] == root[at_a[i[0]]]).all():
+            continue
+        i, j = np.repeat(i, len(j)), np.tile(j, len(i))
+        small, large = np.minimum(size_a[i], size_b[j]), np.maximum(size_a[i], size_b[j])
+        # sets of sizes this far apart can't be alike
+        some = np.flatnonzero((root[at_a[i]] != root[at_b[j]]) & (small >= least * large - 1e-6) & ((i < j) | (a is not b)))
+        for x, y in zip(i[some].tolist(), j[some].tolist(), strict=True):
+            if root[at_a[x]] == root[at_b[y]] or (x, y) in seen:
+                continue
+            if jaccard(a.sets[x], b.sets[y]) >= least:
+                root = _merge(root, at_a[x : x + 1], at_b[y : y + 1])
+            else:
+                seen.add((x, y))
+    return _stars(nodes, root)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two arrays of distinct values; 1 if both are empty."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+    """Of two sorted arrays of distinct values; 1 if both are empty."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both / (len(a) + len(b) - both)
 
 
 def _pairs(tiles: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -214,11 +232,6 @@ def candidate_links(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFram
     return both.mapInPandas(_linked(radius), "u long, v long")
 
 
-@lru_cache(maxsize=4096)
-def _mapped(path: str) -> np.ndarray:
-    return load(path)["shingle"]
-
-
 def _sets(texts: Iterator[pd.Series], size: int) -> Iterator[list[np.ndarray]]:
     """Sorted distinct shingles of each text, of about FLUSH shingles at a time."""
     sets, n = [], 0
@@ -260,40 +273,41 @@ def _shared_shingles(texts: DataFrame, size: int) -> tuple[list[str], np.ndarray
     return [f"{folder}/{p}.shared" for p in range(parts)], cuts
 
 
-def prefixes(docs: DataFrame, size: int, least: float) -> DataFrame:
-    """(id, tokens) of texts (id, text): if the shingle sets of two texts have a Jaccard similarity of `least` or more,
-    they have a token in common; texts without tokens are left out.
+def _signed(texts: pd.Series, size: int, least: float, files: list[str], cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each text: its sorted distinct shingles, and its tokens (see prints)."""
+    for sets in _sets(iter([texts]), size):
+        every = np.concatenate(sets)
+        order = np.argsort(every)
+        asked, shared = every[order] >> SHORT, np.zeros(len(every), bool)
+        ends = np.append(np.searchsorted(asked, cuts), len(asked))
+        for file, a, b in zip(files, np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+            known = held(file)["shingle"] if a < b else ()
+            if len(known):
+                to = np.minimum(np.searchsorted(known, asked[a:b]), len(known) - 1)
+                shared[order[a:b]] = known[to] == asked[a:b]
+        end = 0
+        for s in sets:
+            own = s[shared[end : end + len(s)]]
+            end += len(s)
+            first = len(s) - ceil(least * len(s) - 1e-6) + 1
+            yield s, own[: max(0, first - (len(s) - len(own)))]
+
+
+def prints(docs: DataFrame, size: int, least: float, index: tuple[list[str], np.ndarray]) -> DataFrame:
+    """(id, n, fp, tokens) of texts (id, text), one row for each id: the number of distinct shingles, their SimHash, and
+    tokens: if the shingle sets of two texts have a Jaccard similarity of `least` or more, they have a token in common.
 
     Two such sets have least * n shingles in common at least, n the size of either. So, in whatever order all shingles
     are, the first n - least * n + 1 of each set meet. The order begins with shingles that one text alone has: they
     meet nothing and aren't given, so that a text with enough of them has no tokens.
     """
-    files, cuts = _shared_shingles(docs, size)
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            at = 0
-            for sets in _sets(iter([pdf["text"]]), size):
-                every = np.concatenate(sets)
-                order = np.argsort(every)
-                asked, shared = every[order] >> SHORT, np.zeros(len(every), bool)
-                ends = np.append(np.searchsorted(asked, cuts), len(asked))
-                for file, a, b in zip(files, np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
-                    known = _mapped(file) if a < b else ()
-                    if len(known):
-                        to = np.minimum(np.searchsorted(known, asked[a:b]), len(known) - 1)
-                        shared[order[a:b]] = known[to] == asked[a:b]
-                tokens, end = [], 0
-                for s in sets:
-                    own = s[shared[end : end + len(s)]]
-                    end += len(s)
-                    first = len(s) - ceil(least * len(s) - 1e-6) + 1
-                    tokens.append(own[: max(0, first - (len(s) - len(own)))].view(np.int64))
-                out = pd.DataFrame({"id": pdf["id"].iloc[at : at + len(sets)].to_numpy(), "tokens": tokens})
-                at += len(sets)
-                yield out[[len(t) > 0 for t in tokens]]
-
-    return docs.mapInPandas(run, "id long, tokens array<long>").dropDuplicates(["id"])
+            out = [(len(s), fingerprint_of(s), t.view(np.int64)) for s, t in _signed(pdf["text"], size, least, *index)]
+            yield pd.concat([pdf[["id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n", "fp", "tokens"])], axis=1)
+
+    return docs.mapInPandas(run, "id long, n long, fp long, tokens array<long>").dropDuplicates(["id"])
 
 
 def token_links(tokens: DataFrame) -> DataFrame:
@@ -304,6 +318,63 @@ def token_links(tokens: DataFrame) -> DataFrame:
     return rows.join(small_side(kept(low, "lows")), "token").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
 
 
+def _by_tile(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of one (root, tile) after another, of rows in their order."""
+    rest = None
+    for pdf in pdfs:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        root, tile = pdf["root"].to_numpy(), pdf["tile"].to_numpy()
+        starts = np.flatnonzero(np.append(True, (root[1:] != root[:-1]) | (tile[1:] != tile[:-1]))[: len(pdf)])
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            yield pdf.iloc[a:b]
+        rest = pdf.iloc[starts[-1] :] if len(starts) else rest
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _within(folder: str, least: float):
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Links inside each tile; a tile that is not alone in its group is saved."""
+        yield pd.DataFrame({"u": [], "v": []}, dtype="int64")
+        for pdf in _by_tile(pdfs):
+            tile = Tile.of(pdf)
+            if pdf["many"].iloc[0]:
+                tile.save(f"{folder}/{pdf['root'].iloc[0]}.{pdf['tile'].iloc[0]}")
+            if len(links := _alike(tile, tile, tile.ids, tile.ids, least)):
+                yield links
+
+    return run
+
+
+def _classed(folder: str, step: str):
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Saves the classes of each tile's texts, in the order of the tile; (root, tile, low, high: of its classes)."""
+        for pdf in pdfs:
+            out = []
+            for row in pdf.itertuples():
+                order, own = np.argsort(row.ids), Tile.load(f"{folder}/{row.root}.{row.tile}")
+                classes = row.classes[order][np.searchsorted(row.ids[order], own.ids)]
+                save(f"{folder}/{row.root}.{row.tile}.{step}", {"classes": classes})
+                out.append((row.root, row.tile, classes.min(), classes.max()))
+            yield pd.DataFrame(out, columns=["root", "tile", "low", "high"])
+
+    return run
+
+
+def _across(folder: str, step: str, least: float):
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Links between the classes of two saved tiles."""
+        yield pd.DataFrame({"u": [], "v": []}, dtype="int64")
+        for pdf in pdfs:
+            for row in pdf.itertuples():
+                a, b = (f"{folder}/{row.root}.{t}" for t in (row.tile_a, row.tile_b))
+                class_a, class_b = (held(f"{x}.{step}")["classes"] for x in (a, b))
+                if len(links := _alike(Tile.load(a), Tile.load(b), class_a, class_b, least)):
+                    yield links
+
+    return run
+
+
 def fingerprint_classes(docs: DataFrame, radius: int = 3, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row: doc_id, fingerprint (long), component_id (the smallest id reachable over fingerprints that differ
     in `radius` bits or fewer, itself included).
@@ -320,37 +391,75 @@ def fingerprint_classes(docs: DataFrame, radius: int = 3, size: int = 3, id_col:
     return rows.join(small_side(named), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def near_classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, text_col: str = "text", group: int = 256) -> DataFrame:
-    """(key: text_key of a text, class): equal for texts that near duplicates link, over any number of steps.
+def _dealt(some: DataFrame, group: int) -> DataFrame:
+    """(id, root, tile, many: whether its group has other tiles) of texts (id, root: candidate group, near: group of near
+    fingerprints in it, n: shingles). Near fingerprints share a tile; a tile has about `group` texts, of 1,024 shingles
+    each, at most: larger groups of near fingerprints are cut by a hash, smaller ones put together."""
+    cap = group * 1024
+    whole = some.groupBy("root", "near").agg(F.count("*").alias("n"), F.sum("n").alias("m"))
+    own = F.when((F.col("n") * 2 > group) | (F.col("m") * 2 > cap), F.ceil(F.greatest(F.col("n") / group, F.col("m") / cap)))
+    whole = kept(whole.select("root", "near", "n", "m", own.alias("own")), "nears")
+    rest = [F.sum(F.when(F.col("own").isNull(), F.col(c))) for c in "nm"]
+    rests = F.coalesce(F.ceil(F.greatest(rest[0] / group, rest[1] / cap)), F.lit(0))
+    groups = whole.groupBy("root").agg(rests.alias("rests"), (F.coalesce(F.sum("own"), F.lit(0)) + rests > 1).alias("many"))
+    known = kept(whole.join(small_side(kept(groups, "groups")), "root").select("root", "near", "own", "rests", "many"), "cuts")
+    cut = F.xxhash64(F.lit(1), "near", F.pmod(F.xxhash64(F.lit(2), "id"), "own"))
+    tile = F.when(F.col("own").isNotNull(), cut).otherwise(F.pmod(F.xxhash64("near"), "rests"))
+    return kept(some.drop("n").join(small_side(known), ["root", "near"]).select("id", "root", tile.alias("tile"), "many"), "dealt")
+
+
+def near_classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, text_col: str = "text", group: int = 256, radius: int = 3) -> DataFrame:
+    """(node: xxhash64 of a text's text_key, class): equal for texts that near duplicates link, over any number of steps.
 
     Near duplicates: a Jaccard similarity of `least` or more over the sets of `shingle` words (a shorter text: one
-    shingle). Texts without a near duplicate are left out. Blank texts are alike. Candidates are all texts that have a
-    token in common (see prefixes), which misses no pair, as a radius of fingerprints would. Only texts that have a
-    candidate are compared by their shingles, in tiles of about `group` texts of one candidate component, so no pairs
-    are written out; a component of g texts takes (g / group) ** 2 / 2 tile pairs.
+    shingle). Texts without a near duplicate are left out. Blank texts are alike.
+
+    Candidates are texts whose fingerprints (SimHash of the set) differ in `radius` bits or fewer, found by tiles, and
+    texts that have a token in common (see prints), which every pair of that similarity has, however far its
+    fingerprints are apart. In each group of candidates, texts with near fingerprints lie in the same tile of about
+    `group` texts. Shingle sets are compared within tiles first, then between each tile and the first one of its
+    group, then between all tiles that aren't of one class by then. Tiles are files, read where they are compared, so
+    a pair of them costs one row. A group of copies of one text is done after the second step; what never becomes one
+    class takes (texts / group) ** 2 / 2 tile pairs.
     """
-    keyed = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).withColumn("id", F.xxhash64("key"))
-    tokens = kept(prefixes(keyed.select("id", "text"), shingle, least), "tokens")
-    some = components(kept(token_links(tokens), "links"))
-    some = kept(some.select(F.col("node").alias("id"), "root").join(tokens, "id"), "candidates")
-
-    @F.pandas_udf("array<long>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, shingle).view(np.int64)) for t in texts])
-
-    texts = keyed.join(small_side(some.select("id", "root")), "id")
-    texts = texts.select("id", "key", "root", shingles("text").alias("shingles")).dropDuplicates(["id"])
-    texts = kept(texts.join(some.select("id", "tokens"), "id"), "shingles")
-    whole = texts.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("m"))
-    chunks = F.ceil(F.greatest(F.col("n") / group, F.col("m") / (group * 1024))).alias("chunks")
-    chunks = small_side(kept(whole.select("root", chunks), "chunks"))
-    tiles = texts.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("key"), "chunks"))
-    # dealt by both, so that a large component isn't one task's
-    tiles = kept(tiles.repartition("root", "chunk").groupBy("root", "chunk").agg(F.first("chunks").alias("chunks"), F.collect_list(F.struct("id", "shingles", "tokens")).alias("tile")), "tiles")
-    pairs = tiles.select(F.col("root").alias("root_a"), F.col("chunk").alias("chunk_a"), F.col("root").alias("root_b"), F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)).alias("chunk_b"))
-    both = _pairs(tiles.select("root", "chunk", "tile"), pairs, ["root", "chunk"]).select("tile_a", "tile_b", "same")
-    links = components(kept(both.mapInPandas(_similar(least), "u long, v long"), "links"))
-    return kept(texts.join(links, texts["id"] == links["node"]).select("key", links["root"].alias("class")), "classes")
+    keyed = docs.select(F.xxhash64(text_key(F.col(text_col))).alias("id"), F.col(text_col).alias("text"))
+    index = _shared_shingles(keyed, shingle)
+    signs = kept(prints(keyed, shingle, least, index), "prints")
+    lows = kept(signs.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("most")), "lows")
+    twins = signs.join(small_side(kept(lows.where("low < most").select("fp", "low"), "twins")), "fp")
+    near = candidate_links(lows.select(F.col("low").alias("id"), "fp"), radius).union(twins.select("id", "low"))
+    near = kept(components(near).select(F.col("node").alias("id"), F.col("root").alias("near")), "near")
+    groups = components(token_links(signs).union(near.select("id", "near"))).withColumnsRenamed({"node": "id"})
+    some = groups.join(near, "id", "left").join(signs.select("id", "n"), "id").select("id", "root", F.coalesce("near", "id").alias("near"), "n")
+    dealt = _dealt(kept(some, "candidates"), group)
+    folder = shared_folder(docs.sparkSession, "tiles")
+
+    def sets(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = set()  # a copy adds nothing to its tile
+        for pdf in pdfs:
+            pdf = pdf[~pdf["id"].isin(known)].drop_duplicates("id")
+            known.update(pdf["id"].tolist())
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                out = [(s.tobytes(), t.tobytes()) for s, t in _signed(part["text"], shingle, least, *index)]
+                yield part[["id", "root", "tile", "many"]].assign(shingles=[x for x, _ in out], tokens=[x for _, x in out])
+
+    texts = keyed.join(small_side(dealt), "id").mapInPandas(sets, "id long, root long, tile long, many boolean, shingles binary, tokens binary")
+    texts = texts.repartition("root", "tile").sortWithinPartitions("root", "tile")
+    links = kept(texts.mapInPandas(_within(folder, least), "u long, v long"), "links")
+    several, n = dealt.where("many"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for step in ("first", "rest"):
+        classes = components(links).withColumnsRenamed({"node": "id", "root": "class"})
+        tiles = several.join(classes, "id", "left").groupBy("root", "tile").agg(F.collect_list(F.struct("id", F.coalesce("class", "id").alias("class"))).alias("x"))
+        tiles = tiles.select("root", "tile", F.col("x.id").alias("ids"), F.col("x.class").alias("classes"))
+        tiles = kept(tiles.mapInPandas(_classed(folder, step), "root long, tile long, low long, high long"), "classed")
+        a, b = (tiles.select("root", *[F.col(c).alias(f"{c}_{s}") for c in ("tile", "low", "high")]) for s in "ab")
+        start = tiles.groupBy("root").agg(F.min("tile").alias("start"))
+        pairs = a.join(start, "root").join(b, "root").where("tile_a < tile_b and not (low_a = low_b and high_a = high_b and low_a = high_b)")
+        pairs = pairs.where("tile_a = start" if step == "first" else "tile_a <> start").select("root", "tile_a", "tile_b")
+        more = pairs.repartition(n, "root", "tile_a", "tile_b").mapInPandas(_across(folder, step, least), "u long, v long")
+        links = links.union(kept(more, "links"))
+    return kept(components(links).withColumnsRenamed({"root": "class"}), "classes")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -359,15 +468,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Equal texts are one class; so are all null or blank ones. Of repeated rows of the same id and text one stays, any
     of them if other columns differ. A null id counts as larger than all others. All columns stay as they are.
     """
-    packed = docs.select(F.struct("*").alias("row"), text_key(F.col(text_col)).alias("key"), F.col(id_col).alias("id"))
-    blank = F.length(F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))) == 0
-    keys = kept(docs.select(F.col(id_col).alias("id"), F.when(~blank, text_key(F.col(text_col))).alias("key"), text_key(F.col(text_col)).alias("own")), "keys")
+    own, ident = text_key(F.col(text_col)), F.col(id_col)
+    blank = F.length(F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(BLANKS))) == 0
+    keys = docs.groupBy(ident.alias("id"), blank.alias("blank"), own.alias("own")).agg(F.count("*").alias("n"))
+    keys = kept(keys, "keys")
     classes = near_classes(docs.where(~blank), text_col=text_col, **how)
-    named = keys.groupBy("key", "own").agg(F.min("id").alias("id"))
-    named = named.join(small_side(classes), "key", "left")
-    name = F.when(F.col("key").isNull(), F.lit("blank")).when(F.col("class").isNull(), F.hex("key")).otherwise(F.concat(F.lit("c"), F.col("class").cast("string")))
-    first = named.groupBy(name.alias("name")).agg(F.min_by(F.struct("own", "id"), F.struct(F.col("id").isNull(), "id", "own")).alias("x"))
-    first = kept(first.select(F.col("x.own").alias("key"), F.col("x.id").alias("id")), "first")
-    first = first.select(F.col("key").alias("k"), F.col("id").alias("i"))
-    stays = packed.join(first, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
-    return stays.dropDuplicates(["id", "key"]).select("row.*")
+    named = keys.groupBy("blank", "own").agg(F.min_by(F.struct("id", "n"), F.struct(F.col("id").isNull(), "id")).alias("x"))
+    named = named.join(small_side(classes), F.xxhash64("own") == F.col("node"), "left")
+    name = F.when(F.col("blank"), F.lit(0)).when(F.col("class").isNull(), F.xxhash64("own")).otherwise(F.col("class"))
+    first = named.groupBy("blank", name.alias("name")).agg(F.min_by(F.struct("own", "x"), F.struct(F.col("x.id").isNull(), "x.id", "own")).alias("y"))
+    first = kept(first.select(F.col("y.own").alias("k"), F.col("y.x.id").alias("i"), F.col("y.x.n").alias("n")), "first")
+    packed = docs.select(F.struct("*").alias("row"), own.alias("key"), ident.alias("id"))
+    it = (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i"))
+    stays = packed.join(small_side(first.where("n = 1")), it, "left_semi").select("row")
+    if not (again := first.where("n > 1")).isEmpty():  # nothing tells rows that repeat id and text apart, so these are dealt out
+        stays = stays.union(packed.join(small_side(again), it, "left_semi").dropDuplicates(["id", "key"]).select("row"))
+    return stays.select("row.*")
