@@ -1,9 +1,9 @@
-"""Schema changes on the store: catalog of entities, probes of the data, the gate and the rewrite."""
+"""Schema changes on the store: catalog of entities, probes of the data, the gate, the rewrite, and pushes of projects."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import QueryError
 from tessera.ir import Change, Diff, diff, ensure_ids, from_ir, normalize, to_ir, validate
-from tessera.naming import child_table, snake
+from tessera.naming import child_table, key_column, snake
 from tessera.operators.writer import Writer, table_schemas
 from tessera.plans.scopes import Scope, from_stored, to_stored
 from tessera.schema import Entity, resolve
@@ -44,30 +44,20 @@ class Applied:
 
 
 class Catalog:
-    """The entities of a store, kept as IR beside its tables, and their changes."""
+    """The entities of a store, kept as IR in its manifests, so that they change together with the tables."""
 
     def __init__(self, writer: Writer) -> None:
         self.writer, self.store = writer, writer.store
-        self.irs: dict[str, dict[str, Any]] = self._read()
+        self.irs: dict[str, dict[str, Any]] = self._read("entities")
         if self.irs:
             writer.define(*from_ir(self.irs.values()).values())
 
-    def _path(self):
-        return self.store._path("entities.json")
+    def _read(self, name: str) -> dict[str, Any]:
+        return json.loads(self.store.note(name) or "{}")
 
-    def _read(self) -> dict[str, dict[str, Any]]:
-        if not self.store._files.exists(self._path()):
-            return {}
-        stream = self.store._files.open(self._path())
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def _save(self) -> None:
-        stream = self.store._files.create(self._path(), True)
-        stream.write(bytearray(json.dumps(self.irs).encode()))
-        stream.close()
+    def _save(self, name: str, value: Mapping[str, Any]) -> None:
+        with self.store.transaction():
+            self.store.put_note(name, json.dumps(value) if value else None)
 
     def entities(self) -> dict[str, Entity]:
         return from_ir(self.irs.values())
@@ -76,26 +66,13 @@ class Catalog:
 
     def save_scope(self, scope: Scope) -> None:
         """Keeps a scope by field ids, beside the entities."""
-        stored = self._scopes() | {scope.name: to_stored(scope, self.entities())}
-        stream = self.store._files.create(self.store._path("scopes.json"), True)
-        stream.write(bytearray(json.dumps(stored).encode()))
-        stream.close()
+        self._save("scopes", self._read("scopes") | {scope.name: to_stored(scope, self.entities())})
 
     def scope(self, name: str) -> Scope:
         """A kept scope, under the names that its fields have now."""
-        if name not in self._scopes():
+        if name not in (stored := self._read("scopes")):
             raise QueryError(f"there is no scope {name}")
-        return from_stored(self._scopes()[name], self.entities())
-
-    def _scopes(self) -> dict[str, Any]:
-        path = self.store._path("scopes.json")
-        if not self.store._files.exists(path):
-            return {}
-        stream = self.store._files.open(path)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        return from_stored(stored[name], self.entities())
 
     # plan ----------------------------------------------------------------------------------------------------------
 
@@ -146,43 +123,86 @@ class Catalog:
 
     # apply ---------------------------------------------------------------------------------------------------------
 
-    def apply(self, entity: Entity | Mapping[str, Any], confirm: bool = False, fill: Mapping[str, Any] | None = None, dry: bool = False) -> Applied:
-        """Applies what the gate lets through: blocked changes never, losses if confirmed, required fields if filled."""
+    def apply(self, entity: Entity | Mapping[str, Any], confirm: bool | Collection[str] = False, fill: Mapping[str, Any] | None = None, dry: bool = False) -> Applied:
+        """Applies what the gate lets through: blocked changes never, losses if confirmed (all, or those of some paths),
+        required fields if filled. Tables and definitions change in one commit, or not at all."""
         fill = fill or {}
+        confirmed = lambda path: confirm if isinstance(confirm, bool) else path in confirm
         ir = normalize(to_ir(entity) if isinstance(entity, Entity) else entity)
         validate(ir)
         before = self.irs.get(ir["name"])
         ir = ensure_ids(ir, before)
         plan = self.plan(ir, fill)
-        stop = [c for c in plan.changes if c.risk == "blocked" or c.risk == "confirm" and not confirm or c.risk == "needsValue" and c.path not in fill]
+        stop = [c for c in plan.changes if c.risk == "blocked" or c.risk == "confirm" and not confirmed(c.path) or c.risk == "needsValue" and c.path not in fill]
         if dry or stop:
             return Applied(plan, False)
-        made = from_ir([*(v for k, v in self.irs.items() if k != ir["name"]), ir])
-        if before is not None:
-            self._rewrite(before, ir, made[ir["name"]], fill)
-        self.irs[ir["name"]] = ir
-        self._save()
+        irs = self.irs | {ir["name"]: ir}
+        made = from_ir(irs.values())
+        try:
+            with self.store.transaction():
+                if before is not None:
+                    self._rewrite(before, ir, made[ir["name"]], fill)
+                self._save("entities", irs)
+        except BaseException:
+            self.writer.define(*self.entities().values())
+            raise
+        self.irs = irs
         self.writer.define(*made.values())
         return Applied(plan, True)
 
-    def push(self, entities: Sequence[Entity], **how: Any) -> dict[str, Applied]:
-        return {e.name: self.apply(e, **how) for e in topological(entities)}
+    def push(self, entities: Sequence[Entity], renames: Mapping[str, Mapping[str, str]] | None = None, confirm: bool | Mapping[str, Collection[str]] = False, fill: Mapping[str, Mapping[str, Any]] | None = None, source: str = "push") -> dict[str, Applied]:
+        """Applies a project's entities, those that others refer to in front. By entity: renames (old to new field name),
+        confirm (paths whose loss is agreed to) and fill (path to value). Each entity is applied or held back as a whole;
+        what is held back is kept as pending, until a push leaves nothing."""
+        out, held = {}, []
+        for e in topological(entities):
+            ir, old = to_ir(e), self.irs.get(e.name, {"fields": {}})["fields"]
+            for was, now in (renames or {}).get(e.name, {}).items():
+                if "id" in old.get(was, {}) and now in ir["fields"]:
+                    ir["fields"][now] = ir["fields"][now] | {"id": old[was]["id"]}
+            done = self.apply(ir, confirm if isinstance(confirm, bool) else confirm.get(e.name, ()), (fill or {}).get(e.name))
+            out[e.name] = done
+            if not done.done:
+                held.append({"name": e.name, "ir": ir, "changes": [c.json() for c in done.plan.changes]})
+        self._save("pending", {"source": source, "at": self.writer.clock().isoformat(), "entries": held} if held else {})
+        return out
+
+    def pending(self) -> dict[str, Any] | None:
+        """What the last push held back: source, at, and entries of (name, ir, changes); None if nothing is."""
+        return self._read("pending") or None
+
+    def push_all(self, entities: Sequence[Entity], scopes: Sequence[Scope] = (), **how: Any) -> tuple[dict[str, Applied], list[str]]:
+        """push(), and the scopes once no entity is held back, as they name fields by id; with the names of those saved."""
+        out = self.push(entities, **how)
+        saved = list(scopes) if all(x.done for x in out.values()) else []
+        for scope in saved:
+            self.save_scope(scope)
+        return out, [x.name for x in saved]
+
+    def _moved(self, before: Mapping[str, Any], after: Mapping[str, Any], tables: Collection[str]) -> dict[str, str]:
+        """New to old names of the tables of renamed parts and links, and of what hangs on them."""
+        name, out = snake(after["name"]), {}
+        for f, node in after["fields"].items():
+            was = next((g for g, n in before["fields"].items() if n.get("id") == node["id"]), None)
+            if was and was != f and (node["kind"] == "owned" or node.get("cardinality") == "many"):
+                old, new = child_table(name, was), child_table(name, f)
+                out |= {new + t[len(old) :]: t for t in tables if t == old or t.startswith(f"{old}__")}
+        return out
 
     def _rewrite(self, before: Mapping[str, Any], after: Mapping[str, Any], entity: Entity, fill: Mapping[str, Any]) -> None:
         name = snake(entity.name)
         new = table_schemas(name, resolve(entity.shape))
         old_names = set(table_schemas(name, resolve(from_ir([before, *(v for k, v in self.irs.items() if k != before["name"])])[entity.name].shape)))
-        moved = {}
-        for f, node in after["fields"].items():
-            was = next((g for g, n in before["fields"].items() if n.get("id") == node["id"]), None)
-            if was and was != f and (node["kind"] == "owned" or node.get("cardinality") == "many"):
-                moved[child_table(name, was)] = child_table(name, f)
+        moved = self._moved(before, after, old_names)
         rows = self.store.frame(name)
+        # all sources as they were, as names can change places
+        frames = {target: self.store.frame(source) for target, source in moved.items()}
         with self.store.transaction():
-            for source, target in moved.items():
-                frame = self.store.frame(source)
+            for target, frame in frames.items():
+                owner = {key_column(target.rsplit("__", 1)[0]): key_column(moved[target].rsplit("__", 1)[0])}
+                source = {c: c if c in frame.columns else owner.get(c) for c in new[target].names}
                 self.store.declare(target, new[target])
-                self.store.replace(target, frame.select(*[F.col(c) if c in frame.columns else F.lit(None).alias(c) for c in new[target].names]))
+                self.store.replace(target, frame.select(*[F.col(s).alias(c) if s else F.lit(None).alias(c) for c, s in source.items()]))
             out = []
             for field in new[name]:
                 f = next((g for g in after["fields"] if field.name in (snake(g), f"{snake(g)}_id")), None)

@@ -6,6 +6,9 @@ import datetime as dt
 import warnings
 from typing import Any
 
+from pyspark.sql import Column as Expr
+from pyspark.sql import functions as F
+
 from tessera.errors import QueryError
 from tessera.schema import Entity, seconds
 
@@ -30,6 +33,11 @@ def bucket_of(at: dt.datetime, span: str) -> int:
     return (at - EPOCH) // dt.timedelta(seconds=1) // size * size
 
 
+def start_of(at: Expr, span: str) -> Expr:
+    """bucket_of() of a column of times."""
+    return (F.floor(at.cast("long") / seconds(span)) * seconds(span)).cast("long")
+
+
 def expired(start: int, span: str, retention: str, now: dt.datetime) -> bool:
     """Whether the whole bucket is older than the retention."""
     return start + seconds(span) <= (now - EPOCH).total_seconds() - seconds(retention)

@@ -92,8 +92,9 @@ class Reader:
 
     # shape ---------------------------------------------------------------------------------------------------------
 
-    def _shaped(self, df: DataFrame, table: Table, expand: Any, select: Any, auto: bool = False) -> tuple[DataFrame, list[str]]:
-        """df with the nested columns joined on, and the columns of the result in order."""
+    def _shaped(self, df: DataFrame, table: Table, expand: Any, select: Any, auto: bool = False, page: bool = False) -> tuple[DataFrame, list[str]]:
+        """df with the nested columns joined on, and the columns of the result in order. page: df is a page, so that
+        what is nested is first cut down to what it needs."""
         chosen = None if select is None or select is True else select
         if chosen is not None:
             for name in chosen:
@@ -114,7 +115,7 @@ class Reader:
             if isinstance(node, Owned):
                 if asked:
                     deeper = (expand.get(name) if isinstance(expand, Mapping) else None) if chosen is None else None
-                    df = self._nest_part(df, table, name, node, deeper, sub, auto and chosen is None)
+                    df = self._nest_part(df, table, name, node, deeper, sub, auto and chosen is None, page)
                     out.append(name)
                 continue
             if not node.many and (chosen is None or chosen.get(f"{name}Id")):
@@ -122,14 +123,23 @@ class Reader:
             followed = bool(sub) if chosen is not None else auto or bool(isinstance(expand, Mapping) and expand.get(name))
             if followed:
                 deeper = expand.get(name) if chosen is None and isinstance(expand, Mapping) else None
-                df = self._nest_reference(df, table, name, node, None if deeper is True else deeper, sub)
+                df = self._nest_reference(df, table, name, node, None if deeper is True else deeper, sub, page)
                 out.append(name)
         out += [c for c in ("createdAt", "updatedAt") if chosen is None or chosen.get(c)]
         return df, out
 
-    def _objects(self, table: Table, expand: Any, select: Any, key: str, auto: bool = False) -> DataFrame:
-        """(_key, createdAt, id, object) of all rows of a table."""
-        rows, names = self._shaped(table.rows(), table, expand, select, auto)
+    @staticmethod
+    def _of(rows: DataFrame, column: str, keys: DataFrame | None, key: str) -> DataFrame:
+        """The rows whose column is among a key of a page; all if there is none."""
+        if keys is None:
+            return rows
+        keys = keys.select(F.col(key).alias("_pk")).distinct()
+        return rows.join(keys, rows[column] == keys["_pk"], "left_semi")
+
+    def _objects(self, table: Table, expand: Any, select: Any, key: str, auto: bool = False, of: tuple[DataFrame | None, str] = (None, "")) -> DataFrame:
+        """(_key, createdAt, id, object) of the rows of a table, or of those that a page needs."""
+        rows = self._of(table.rows(), key, *of)
+        rows, names = self._shaped(rows, table, expand, select, auto, of[0] is not None)
         return rows.select(F.col(key).alias("_key"), F.struct(F.col("createdAt").isNull().alias("n"), F.col("createdAt").alias("c"), F.col("id").alias("i"), F.struct(*names).alias("o")).alias("_x"))
 
     @staticmethod
@@ -143,16 +153,19 @@ class Reader:
         df = df.join(values, df[own] == values[f"_k_{name}"], "left").drop(f"_k_{name}")
         return df.withColumn(name, F.coalesce(F.col(name), F.array().cast(kind))) if many else df
 
-    def _nest_part(self, df: DataFrame, table: Table, name: str, node: Owned, expand: Any, select: Any, auto: bool) -> DataFrame:
-        rows = self._objects(table.parts[name], None if expand is True else expand, select, "_parent", auto)
+    def _nest_part(self, df: DataFrame, table: Table, name: str, node: Owned, expand: Any, select: Any, auto: bool, page: bool) -> DataFrame:
+        rows = self._objects(table.parts[name], None if expand is True else expand, select, "_parent", auto, (df if page else None, "id"))
         values = self._list(rows) if node.many else rows.groupBy("_key").agg(F.min("_x").alias("m")).select("_key", F.col("m.o").alias("_v"))
         return self._attach(df, "id", values, name, node.many)
 
-    def _nest_reference(self, df: DataFrame, table: Table, name: str, node: Reference, expand: Any, select: Any) -> DataFrame:
-        rows = self._objects(self.registry.target(table, name), expand, select, "id")
+    def _nest_reference(self, df: DataFrame, table: Table, name: str, node: Reference, expand: Any, select: Any, page: bool) -> DataFrame:
+        target = self.registry.target(table, name)
         if not node.many:
+            cut = page and bool(target.parts or expand or select)  # a plain row is joined just as well without
+            rows = self._objects(target, expand, select, "id", of=(df if cut else None, f"{name}Id"))
             return self._attach(df, f"{name}Id", rows.select("_key", F.col("_x.o").alias("_v")), name, False)
-        links = table.link_rows(name)
+        links = self._of(table.link_rows(name), "owner", df if page else None, "id")
+        rows = self._objects(target, expand, select, "id", of=(links if page else None, "target"))
         rows = links.join(rows, links["target"] == rows["_key"]).select(F.col("owner").alias("_key"), "_x")
         return self._attach(df, "id", self._list(rows), name, True)
 
@@ -171,12 +184,15 @@ class Reader:
             raise QueryError("latestPer names no field")
         return out
 
-    def find(self, what: Entity | Projection | str, where: Any = None, order_by: Mapping[str, Any] | None = None, expand: Any = None, select: Any = None, latest_per: Any = None, limit: int | None = None, offset: int | None = None, before: Any = None) -> DataFrame:
-        """Objects as rows. before: a condition that holds ahead of all others, of a scope."""
+    def find(self, what: Entity | Projection | str, where: Any = None, order_by: Mapping[str, Any] | None = None, expand: Any = None, select: Any = None, latest_per: Any = None, limit: int | None = None, offset: int | None = None, before: Any = None, only: DataFrame | None = None) -> DataFrame:
+        """Objects as rows. before: a condition that holds ahead of all others, of a scope. only: a table of the ids (k)
+        that are wanted."""
         if isinstance(what, Projection):
             what, select = what.entity, what.select if select is None else select
         table = self.registry.table(what)
-        df = self.where.keep(self.where.keep(table.rows(), table, before), table, where)
+        rows = table.rows()
+        rows = rows if only is None else rows.join(only, rows["id"] == only["k"], "left_semi")
+        df = self.where.keep(self.where.keep(rows, table, before), table, where)
         df, keys = self._order(df, table, order_by or {})
         if latest_per:
             groups = self._latest_names(table, latest_per)
@@ -189,7 +205,7 @@ class Reader:
             df = df.orderBy(*order)
             df = df.offset(offset) if offset else df
             df = df.limit(limit) if limit is not None else df
-        df, names = self._shaped(df, table, None if expand == "auto" else expand, select, expand == "auto")
+        df, names = self._shaped(df, table, None if expand == "auto" else expand, select, expand == "auto", limit is not None or only is not None)
         return df.orderBy(*order).select(*names)
 
     def count_rows(self, what: Entity | Projection | str, where: Any = None, latest_per: Any = None, before: Any = None) -> DataFrame:

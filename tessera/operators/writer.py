@@ -5,12 +5,14 @@ from __future__ import annotations
 import datetime as dt
 import os
 import time
+import warnings
 from collections import defaultdict
 from collections.abc import Callable, Mapping, Sequence
 from decimal import Decimal
 from functools import reduce
 from typing import Any
 
+from pyspark.sql import Column as Expr
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +20,8 @@ from pyspark.sql import types as T
 from tessera.engine import Engine
 from tessera.errors import Forbidden, NotFound, QueryError, Referenced
 from tessera.naming import child_table, key_column, snake
-from tessera.operators.partitions import admitted, bucket_of, expired, instant
-from tessera.schema import MISSING, Column, Entity, Owned, Reference, resolve
+from tessera.operators.partitions import admitted, bucket_of, expired, instant, start_of
+from tessera.schema import MISSING, Column, Entity, Owned, Reference, resolve, seconds
 from tessera.sources.binding import standard_binding
 from tessera.sources.store import Store
 from tessera.types import KINDS, canonical_json
@@ -145,15 +147,16 @@ class Writer(Engine):
 
     def _owners(self, table: str, keys: DataFrame, column: str) -> None:
         """Deletes the rows of a child or link table whose owner is among keys (k), and what hangs on them."""
-        if not self.store.segments().get(table):
+        match = lambda rows: rows.join(keys, rows[column] == keys["k"], "left_semi")
+        if not (files := self.store.touched(table, match)):
             return
-        old = self.store.frame(table)
+        old = self.store.frame(table, files)
         if "id" in old.columns:
-            gone = old.join(keys, old[column] == keys["k"], "left_semi").select(F.col("id").alias("k"))
+            gone = match(old).select(F.col("id").alias("k"))
             for child, schema in self.store.schemas.items():
                 if child.startswith(f"{table}__") and "__" not in child[len(table) + 2 :]:
                     self._owners(child, gone, key_column(table) if key_column(table) in schema.names else "owner_id")
-        self.store.replace(table, old.join(keys, old[column] == keys["k"], "left_anti"))
+        self.store.rewrite(table, files, old.join(keys, old[column] == keys["k"], "left_anti"))
 
     def _keys(self, ids: Sequence[str]) -> DataFrame:
         return self.spark.createDataFrame([(i,) for i in ids], "k string")
@@ -190,21 +193,28 @@ class Writer(Engine):
                     raise QueryError(f"{entity.name} is partitioned and only grows")
                 self._update_rows(name, changed)
             if made:
-                known = set(self.store.segments().get(name, []))
+                known = self._buckets(name)
                 self.store.append(name, self._frame(name, made))
-                if entity.retention and {p.split("/")[0] for p in self.store.segments()[name]} - {p.split("/")[0] for p in known}:
-                    span, keep = entity.partition_by.span, entity.retention
-                    self.store.keep_segments(name, lambda start: not expired(start, span, keep, self.clock()))
+                self._expire(entity, name, known)
             for key in [k for k in rows if k[0] == "clear"]:
                 if changed and rows[key]:
                     self._owners(key[1], self._keys(rows[key]), key[2])
             for key in [k for k in rows if k[0] == "rows"]:
                 self.store.append(key[1], self._frame(key[1], rows[key]))
             self._check_refs(rows["refs"])
-            self._check_unique(entity, table.name, table.shape)
+            self._check_unique(entity, table.name, table.shape, self._keys(ids))
             self._check_scope(entity, ids, check)
         return ids
 
+    def _buckets(self, name: str) -> set[str]:
+        return {p.split("/")[0] for p in self.store.segments().get(name, [])}
+
+    def _expire(self, entity: Entity, name: str, known: set[str]) -> None:
+        """Drops expired buckets, once rows have opened one that wasn't known."""
+        if entity.retention and self._buckets(name) - known:
+            span, keep = entity.partition_by.span, entity.retention
+            self.store.keep_segments(name, lambda start: not expired(start, span, keep, self.clock()))
+
     def _update_rows(self, name: str, changed: list[dict]) -> None:
         columns = sorted({c for r in changed for c in r if c != "_now"} - {"id"})
         schema = self.store.schemas[name]
@@ -213,10 +223,11 @@ class Writer(Engine):
             [(r["id"], *(r.get(c) for c in columns), *(c in r for c in columns)) for r in {r["id"]: r for r in changed}.values()],
             T.StructType([T.StructField("k", T.StringType()), *(T.StructField(f"new_{c}", schema[c].dataType) for c in columns), *flags]),
         )
-        old = self.store.frame(name)
-        both = old.join(new, old["id"] == new["k"], "left")
+        files = self.store.touched(name, lambda rows: rows.join(F.broadcast(new.select("k")), rows["id"] == F.col("k"), "left_semi"))
+        old = self.store.frame(name, files)
+        both = old.join(F.broadcast(new), old["id"] == new["k"], "left")  # BULK_CAP rows at most
         value = lambda c: F.when(F.coalesce(F.col(f"has_{c}"), F.lit(False)), F.col(f"new_{c}")).otherwise(F.col(c)) if c in columns else F.col(c)
-        self.store.replace(name, both.select(*[value(c).alias(c) for c in schema.names]))
+        self.store.rewrite(name, files, both.select(*[value(c).alias(c) for c in schema.names]))
 
     # checks --------------------------------------------------------------------------------------------------------
 
@@ -229,7 +240,8 @@ class Writer(Engine):
             if found:
                 raise QueryError(f"{wanted[found[0]]}: there is no {target} {found[0]}")
 
-    def _check_unique(self, entity: Entity, name: str, shape: Mapping[str, Any]) -> None:
+    def _check_unique(self, entity: Entity, name: str, shape: Mapping[str, Any], keys: DataFrame) -> None:
+        """No other row may have the id or unique fields of the rows whose ids are among keys (k)."""
         column = lambda f: f"{snake(f)}_id" if isinstance(shape.get(f), Reference) else snake(f)
         groups = [["id"], *([snake(f)] for f, n in shape.items() if isinstance(n, Column) and n.is_unique), *([column(f) for f in g] for g in entity.unique)]
         rows = self.store.frame(name)
@@ -237,7 +249,9 @@ class Writer(Engine):
             if "_bucket" in rows.columns and g == ["id"]:
                 continue
             full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in g])
-            if twice := rows.where(full).groupBy(*g).count().where("count > 1").first():
+            own = rows.join(keys, rows["id"] == keys["k"], "left_semi").where(full).select(*[F.col(c).alias(f"o_{c}") for c in g]).distinct()
+            alike = rows.join(own, reduce(lambda a, b: a & b, [rows[c] == own[f"o_{c}"] for c in g]), "left_semi")
+            if twice := alike.groupBy(*g).count().where("count > 1").first():
                 raise QueryError(f"{entity.name}: {g} = {[twice[c] for c in g]} is there already")
 
     def _check_scope(self, entity: Entity, ids: Sequence[str], check: Any) -> None:
@@ -248,10 +262,103 @@ class Writer(Engine):
             if self.where.keep(rows, self.registry.table(entity), check).count() != len(set(ids)):
                 raise Forbidden(f"{entity.name}: a row would leave the scope")
 
+    # tables of inputs ----------------------------------------------------------------------------------------------
+
+    def load(self, entity: Entity, rows: DataFrame, check: Any = None) -> int:
+        """Inserts a table of objects in one transaction, none of which goes through the driver: fields by name, `<ref>Id`
+        (`<ref>Ids` for lists of references), parts as structs or arrays of structs. Returns how many there were.
+
+        Rows need an id if the entity has parts or lists of references; else one is made. Parts get ids that follow from
+        their owner's and their place. Fields that aren't there are null or have their default; unknown columns are an
+        error. All checks of create() hold; of a partitioned entity late rows are left out, with a warning.
+        """
+        table, now = self.registry.table(entity), F.lit(self.clock())
+        nested = any(isinstance(n, Owned) or isinstance(n, Reference) and n.many for n in table.shape.values())
+        if "id" not in rows.columns:
+            if nested:
+                raise QueryError(f"{entity.name}: the rows need an id")
+            rows = rows.withColumn("id", F.expr("uuid()"))
+        rows = rows.withColumn("id", F.col("id").cast("string"))
+        out: dict[str, DataFrame] = {}
+        self._tables(table.name, table.shape, rows, now, None, out)
+        with self.transaction():
+            known, news = self._buckets(table.name), {}
+            if entity.partition_by:
+                at, span = snake(entity.partition_by.field), entity.partition_by.span
+                own = out[table.name].withColumn("_bucket", start_of(F.col(at), span))
+                if own.where(F.col("_bucket").isNull()).first():
+                    raise QueryError(f"{entity.name}.{entity.partition_by.field} is required")
+                if entity.retention:
+                    late = F.col("_bucket") + seconds(span) <= now.cast("long") - seconds(entity.retention)
+                    if n := own.where(late).count():
+                        warnings.warn(f"{n} rows of {entity.name} are beyond the retention and left out", stacklevel=2)
+                        own = own.where(~late)
+                out[table.name] = own
+            for name, frame in out.items():
+                before = set(self.store.segments().get(name, []))
+                self.store.append(name, frame)
+                news[name] = self.store.frame(name, [p for p in self.store.segments()[name] if p not in before])
+            self._expire(entity, table.name, known)
+            self._check_loaded(entity, table.name, table.shape, news)
+            keys = news[table.name].select(F.col("id").alias("k"))
+            self._check_unique(entity, table.name, table.shape, keys)
+            if check:
+                stored = table.rows()
+                stored = stored.join(keys, stored["id"] == keys["k"], "left_semi")
+                if self.where.keep(stored, table, check).count() != keys.count():
+                    raise Forbidden(f"{entity.name}: a row would leave the scope")
+            return keys.count()
+
+    def _tables(self, name: str, shape: Mapping[str, Any], rows: DataFrame, now: Expr, parent: str | None, out: dict[str, DataFrame]) -> None:
+        """The frames of a shape's tables, from a table of its objects."""
+        known = {"id", key_column(parent) if parent else "id"}
+        schema = {f.name: f for f in self.store.schemas[name]}
+        made = {"id": F.col("id"), "created_at": now, "updated_at": now} | ({key_column(parent): F.col(key_column(parent))} if parent else {})
+        for f, node in shape.items():
+            field = f"{f}Id" if isinstance(node, Reference) and not node.many else f"{f}Ids" if isinstance(node, Reference) else f
+            known.add(field)
+            there = field in rows.columns
+            if isinstance(node, Column) or isinstance(node, Reference) and not node.many:
+                column = snake(f) if isinstance(node, Column) else f"{snake(f)}_id"
+                standard = node.standard if isinstance(node, Column) and node.standard is not MISSING else None
+                value = F.col(f"`{field}`") if there else F.array() if standard == [] else F.lit(standard)
+                made[column] = value.cast(schema[column].dataType)
+            elif isinstance(node, Reference):
+                if there:
+                    out[child_table(name, f)] = rows.select(F.col("id").alias("owner_id"), F.explode(F.array_distinct(F.col(field).cast("array<string>"))).alias("target_id"))
+            elif there:
+                child = node.table or child_table(name, f)
+                own = rows.select(F.col("id").alias("_o"), F.posexplode(f) if node.many else F.struct(F.lit(0).alias("pos"), F.col(f).alias("col")).alias("_s"))
+                own = own.select("_o", "pos", "col") if node.many else own.select("_o", "_s.pos", "_s.col").where("col is not null")
+                ident = F.regexp_replace(F.md5(F.concat_ws("/", F.lit(child), "_o", "pos")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+                own = own.select(ident.alias("id"), F.col("_o").alias(key_column(name)), "col.*")
+                self._tables(child, node.shape, own, now, name, out)
+        if unknown := set(rows.columns) - known:
+            raise QueryError(f"{name} has no field {sorted(unknown)[0]}")
+        out[name] = rows.select(*[v.alias(c) for c, v in made.items()])
+
+    def _check_loaded(self, entity: Entity, name: str, shape: Mapping[str, Any], news: Mapping[str, DataFrame]) -> None:
+        """What create() asks of each input, of the new rows of all tables."""
+        for f, node in shape.items():
+            if isinstance(node, Owned):
+                if (child := node.table or child_table(name, f)) in news:
+                    self._check_loaded(entity, child, node.shape, news)
+                continue
+            many = isinstance(node, Reference) and node.many
+            column = "target_id" if many else f"{snake(f)}_id" if isinstance(node, Reference) else snake(f)
+            rows = news.get(child_table(name, f)) if many else news[name]
+            if not many and node.required and rows.where(F.col(column).isNull()).first():
+                raise QueryError(f"{name}.{f} is required")
+            if isinstance(node, Reference) and rows is not None:
+                target = self.store.frame(self.registry.table(node.name(entity.name)).name).select(F.col("id").alias("_t"))
+                lost = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("_r")).distinct().join(target, F.col("_r") == F.col("_t"), "left_anti").first()
+                if lost:
+                    raise QueryError(f"{name}.{f}: there is no {node.name(entity.name)} {lost[0]}")
+
     # verbs ---------------------------------------------------------------------------------------------------------
 
     def _read(self, entity: Entity, ids: Sequence[str]) -> list[dict]:
-        rows = {r["id"]: r.asDict(recursive=True) for r in self.find(entity, {"id": {"in": list(ids)}}).collect()}
+        rows = {r["id"]: r.asDict(recursive=True) for r in self.find(entity, only=self._keys(ids)).collect()}
         return [rows[i] for i in ids if i in rows]
 
     def create(self, entity: Entity, x: Mapping[str, Any], check: Any = None) -> dict:
@@ -340,8 +447,9 @@ class Writer(Engine):
         for child, schema in self.store.schemas.items():
             if child.startswith(f"{table.name}__") and "__" not in child[len(table.name) + 2 :]:
                 self._owners(child, keys, key_column(table.name) if key_column(table.name) in schema.names else "owner_id")
-        old = self.store.frame(table.name)
-        self.store.replace(table.name, old.join(keys, old["id"] == keys["k"], "left_anti"))
+        if files := self.store.touched(table.name, lambda rows: rows.join(keys, rows["id"] == keys["k"], "left_semi")):
+            old = self.store.frame(table.name, files)
+            self.store.rewrite(table.name, files, old.join(keys, old["id"] == keys["k"], "left_anti"))
 
     # accumulate ----------------------------------------------------------------------------------------------------
 
@@ -352,7 +460,8 @@ class Writer(Engine):
         """Upserts by a declared unique key: inc adds (null stays null), max and min keep the larger and smaller,
         setOnInsert counts for a new row only. Operations on key fields are ignored. Returns the ids of the keys in order.
 
-        The deltas of a key are folded first, then merged with the table in one join.
+        The deltas of a key are folded first, then merged with the files that have such keys in one join. A partitioned
+        entity is accumulated by keys with its time; beyond the retention a new row is an error.
         """
         table = self.registry.table(entity)
         plain = lambda k: k[:-2] if k.endswith("Id") and isinstance(table.shape.get(k[:-2]), Reference) else k
@@ -384,17 +493,17 @@ class Writer(Engine):
             rows.append(row)
         schema = self.store.schemas[table.name]
         cols, key_cols = {column(f): op for f, op in ops.items()}, [column(k) for k in keys]
-        fresh = {}
-        for row in rows:
-            fresh.setdefault(tuple(row[c] for c in key_cols), new_id())
+        fresh, first = {}, {}
+        for i, row in enumerate(rows):
+            key = tuple(row[c] for c in key_cols)
+            fresh.setdefault(key, new_id())
+            first.setdefault(key, i)
         kinds = [T.StructField("_seq", T.IntegerType()), T.StructField("_new", T.StringType()), *(schema[c] for c in [*key_cols, *cols])]
         delta = self.spark.createDataFrame([(i, fresh[tuple(r[c] for c in key_cols)], *(r.get(c) for c in [*key_cols, *cols])) for i, r in enumerate(rows)], T.StructType(kinds))
         with self.transaction():
-            wanted = self._merge(entity, key_cols, cols, delta)
-            now_there = self.store.frame(table.name)
-            found = now_there.join(wanted, reduce(lambda a, b: a & b, [now_there[c] == wanted[f"k_{c}"] for c in key_cols]), "left_semi")
-            by = {tuple(r[c] for c in key_cols): r["id"] for r in found.select("id", *key_cols).collect()}
-            ids = [by[k] for k in fresh]
+            there = self._merge(entity, key_cols, cols, delta)
+            by = {r["_seq"]: r["id"] for r in there.collect()}  # a row for each key of the call
+            ids = [by[i] for i in first.values()]
             self._check_scope(entity, ids, check)
         return ids
 
@@ -412,15 +521,28 @@ class Writer(Engine):
             self._merge(entity, [column(k) for k in key], {column(f): op for f, op in ops.items()}, rows)
 
     def _merge(self, entity: Entity, key_cols: list[str], cols: Mapping[str, str], delta: DataFrame) -> DataFrame:
-        """Folds deltas (_seq, _new: the id if the key is new, keys, values) and merges them with the table; returns the
-        distinct keys as k_<column>."""
+        """Folds deltas (_seq, _new: the id if the key is new, keys, values) and merges them with the table; returns
+        (_seq: the first of a key, id)."""
         table = self.registry.table(entity)
         name, now, schema = table.name, self.clock(), self.store.schemas[table.name]
         fold = {"inc": F.sum, "max": F.max, "min": F.min, "setOnInsert": lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col("_seq"), F.col(c))))}
-        delta = delta.groupBy(*[F.col(c).alias(f"k_{c}") for c in key_cols]).agg(F.min("_new").alias("_new"), *[fold[op](c).alias(f"d_{c}") for c, op in cols.items()])
-        old = self.store.frame(name)
-        both = old.join(delta, reduce(lambda a, b: a & b, [old[c] == delta[f"k_{c}"] for c in key_cols]), "full")
+        delta = delta.groupBy(*[F.col(c).cast(schema[c].dataType).alias(f"k_{c}") for c in key_cols]).agg(F.min("_seq").alias("_seq"), F.min("_new").alias("_new"), *[fold[op](c).alias(f"d_{c}") for c, op in cols.items()])
+        on, own = [(c, f"k_{c}") for c in key_cols], lambda c: F.col(c)
+        if entity.partition_by:
+            at = snake(entity.partition_by.field)
+            if at not in key_cols:
+                raise QueryError(f"{entity.name} is partitioned; the key needs {entity.partition_by.field}")
+            delta, own = delta.withColumn("k__bucket", start_of(F.col(f"k_{at}"), entity.partition_by.span)), lambda c: F.coalesce(F.col(c), F.col("k__bucket")) if c == "_bucket" else F.col(c)
+            on.append(("_bucket", "k__bucket"))  # prunes folders
+        match = lambda rows: reduce(lambda a, b: a & b, [rows[c] == delta[k] for c, k in on])
+        files = self.store.touched(name, lambda rows: rows.join(delta, match(rows), "left_semi"))
+        old = self.store.frame(name, files)
+        both = old.join(delta, match(old), "full")
         missing, touched = F.col("id").isNull(), F.col("_new").isNotNull()
+        if entity.retention:
+            late = F.col("k__bucket") + seconds(entity.partition_by.span) <= F.lit(now).cast("long") - seconds(entity.retention)
+            if found := both.where(missing & late).first():
+                raise QueryError(f"{entity.name}.{entity.partition_by.field}: {found[f'k_{at}']} is beyond the retention of {entity.retention}")
         merge = {"inc": lambda a, d: a + d, "max": F.greatest, "min": F.least, "setOnInsert": lambda a, d: a}
         defaults = {snake(f): n.standard for f, n in table.shape.items() if isinstance(n, Column) and n.standard is not MISSING}
 
@@ -437,7 +559,10 @@ class Writer(Engine):
             if c in defaults:
                 given = defaults[c]
                 return F.when(missing, (F.array() if given == [] else F.lit(given)).cast(schema[c].dataType)).otherwise(F.col(c))
-            return F.col(c)
+            return own(c)
 
-        self.store.replace(name, both.select(*[value(c).cast(schema[c].dataType).alias(c) for c in schema.names]))
-        return delta.select(*[f"k_{c}" for c in key_cols])
+        known = self._buckets(name)
+        self.store.rewrite(name, files, both.select(*[value(c).cast(schema[c].dataType).alias(c) for c in schema.names]))
+        self._expire(entity, name, known)
+        rows = self.store.frame(name)
+        return rows.join(delta, match(rows)).select("_seq", "id")

@@ -305,10 +305,12 @@ class Scoped:
         return self.engine.aggregate(what, query, self._before(rule), **parts)
 
     def create(self, entity: Entity, x: Mapping[str, Any]) -> dict:
-        return self.engine.create(entity, x, self._before(self._rule(entity.name, "create")))
+        check = self._before(self._rule(entity.name, "create"))
+        return self.engine.create(entity, x, check)
 
     def create_many(self, entity: Entity, inputs: Any) -> list[dict]:
-        return self.engine.create_many(entity, inputs, self._before(self._rule(entity.name, "create")))
+        check = self._before(self._rule(entity.name, "create"))
+        return self.engine.create_many(entity, inputs, check)
 
     def accumulate(self, entity: Entity, key: Any, ops: Any) -> dict:
         rule = self._rule(entity.name, "create")
@@ -324,10 +326,12 @@ class Scoped:
         return self.engine.update_many(entity, where, patch, before, before)
 
     def delete_one(self, entity: Entity, where: Any, order_by: Any = None) -> bool:
-        return self.engine.delete_one(entity, where, order_by, self._before(self._rule(entity.name, "delete")))
+        before = self._before(self._rule(entity.name, "delete"))
+        return self.engine.delete_one(entity, where, order_by, before)
 
     def delete_many(self, entity: Entity, where: Any) -> int:
-        return self.engine.delete_many(entity, where, self._before(self._rule(entity.name, "delete")))
+        before = self._before(self._rule(entity.name, "delete"))
+        return self.engine.delete_many(entity, where, before)
 
 
 def _cut_below(df: DataFrame, path: list[str], fields: Mapping[str, Any]) -> DataFrame:

@@ -3,17 +3,20 @@
 import pytest
 from tests.conftest import compare
 
-from tessera import catalogue
+from tessera import catalogue, catalogue_store
 
+QUERIES = catalogue.QUERIES | catalogue_store.QUERIES
+ORACLE_SQL = catalogue.ORACLE_SQL | catalogue_store.ORACLE_SQL
 
-@pytest.mark.parametrize("name", list(catalogue.QUERIES))
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(name, spark, sf_dir, duck):
-    rows = catalogue.QUERIES[name](spark, sf_dir).toPandas()
-    compare(rows, duck.execute(catalogue.ORACLE_SQL[name]).df())
+    rows = QUERIES[name](spark, sf_dir).toPandas()
+    compare(rows, duck.execute(ORACLE_SQL[name]).df())
 
 
 def test_entry(spark):
     import __spark_entry__
 
-    assert set(catalogue.QUERIES) <= set(__spark_entry__.queries())
+    assert set(QUERIES) <= set(__spark_entry__.queries()) and not set(catalogue.QUERIES) & set(catalogue_store.QUERIES)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -132,3 +132,45 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.k, r.n, r.top) for r in writer.find(total).collect()) == [("a", 10, 19), ("b", 10, 18)]
+
+
+def test_swapped_names(spark, tmp_path):
+    catalog = Catalog(Writer(spark, f"file://{tmp_path}/store"))
+    other = entity({"name": s.text()}, "other")
+    inner = {"x": s.text(), "notes": s.owned(s.array({"t": s.text()}))}
+    assert all(x.done for x in catalog.push([entity({"a": s.owned(s.array(inner)), "b": s.owned(s.array(inner)), "p": s.text(), "q": s.text(), "m": s.reference(s.array(other)), "n": s.reference(s.array(other))}), other]).values())
+    made = catalog.entities()
+    o = catalog.writer.create_many(made["other"], [{"name": "one"}, {"name": "two"}])
+    catalog.writer.create(made["item"], {"a": [{"x": "from_a", "notes": [{"t": "na"}]}], "b": [{"x": "from_b", "notes": [{"t": "nb"}]}], "p": "from_p", "q": "from_q", "mIds": [o[0]["id"]], "nIds": [o[1]["id"]]})
+    shape = made["item"].shape
+    swap = {"a": "b", "b": "a", "p": "q", "q": "p", "m": "n", "n": "m"}
+    assert catalog.apply(entity({swap[f]: n for f, n in shape.items()})).done
+    for c in (catalog, Catalog(Writer(spark, f"file://{tmp_path}/store"))):
+        row = c.writer.find("item", expand={"m": True, "n": True}).first().asDict(recursive=True)
+        assert (row["p"], row["q"]) == ("from_q", "from_p")
+        for f, want in (("a", "b"), ("b", "a")):
+            assert [(x["x"], [y["t"] for y in x["notes"]]) for x in row[f]] == [(f"from_{want}", [f"n{want}"])]
+        assert [x["name"] for x in row["m"]] == ["two"] and [x["name"] for x in row["n"]] == ["one"]
+    before = catalog.irs
+    with pytest.raises(RuntimeError), catalog.store.transaction():
+        catalog.apply(entity({"z": s.text()}, "another"))
+        raise RuntimeError
+    assert set(Catalog(Writer(spark, f"file://{tmp_path}/store")).irs) == set(before) - {"another"}
+
+
+def test_push(spark, tmp_path):
+    catalog = Catalog(Writer(spark, f"file://{tmp_path}/store"))
+    a = entity({"name": s.text(), "old": s.int4()}, "a")
+    b = entity({"a": s.reference("a"), "x": s.text()}, "b")
+    assert list(catalog.push([b, a])) == ["a", "b"] and catalog.pending() is None
+    catalog.writer.create(catalog.entities()["a"], {"name": "n", "old": 3})
+    again = [entity({"name": s.text().not_null(), "fresh": s.int4()}, "a"), entity({"a": s.reference("a")}, "b")]
+    scope = define_scope("all", [scope_rule(again[0])])
+    done, saved = catalog.push_all(again, [scope], renames={"a": {"old": "fresh"}})
+    assert done["a"].done and not done["b"].done and saved == []
+    held = Catalog(Writer(spark, f"file://{tmp_path}/store")).pending()
+    assert [(e["name"], [c["op"] for c in e["changes"]]) for e in held["entries"]] == [("b", ["removeField"])]
+    assert catalog.writer.find("a").first()["fresh"] == 3
+    assert not catalog.push(again, confirm={"b": ["y"]})["b"].done
+    done, saved = catalog.push_all(again, [scope], confirm={"b": ["x"]})
+    assert all(x.done for x in done.values()) and saved == ["all"] and catalog.pending() is None and catalog.scope("all").name == "all"

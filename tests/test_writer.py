@@ -26,13 +26,15 @@ book = s.define_entity(
 )
 view = s.define_entity("view", {"page": s.text().not_null(), "day": s.text().not_null(), "n": s.int8(), "low": s.float8(), "high": s.float8(), "by": s.text()}, unique=[["page", "day"]])
 reading = s.define_entity("reading", {"ts": s.timestamptz().not_null(), "v": s.int4()}, partition_by=s.time_bucket("ts", "1d"), retention="30d")
+hourly = s.define_entity("hourly", {"ts": s.timestamptz().not_null(), "site": s.text().not_null(), "n": s.int8()}, unique=[["ts", "site"]], partition_by=s.time_bucket("ts", "1d"), retention="30d")
+instant = s.define_entity("instant", {"ts": s.timestamptz().unique(), "n": s.int8()})
 NOW = dt.datetime(2024, 3, 1, tzinfo=dt.timezone.utc)
 
 
 @pytest.fixture
 def engine(spark, tmp_path):
     clock = [NOW]
-    made = Writer(spark, f"file://{tmp_path}/store", clock=lambda: clock[0]).define(author, tag, book, view, reading)
+    made = Writer(spark, f"file://{tmp_path}/store", clock=lambda: clock[0]).define(author, tag, book, view, reading, hourly, instant)
     made.clock_at = clock
     return made
 
@@ -130,3 +132,81 @@ def test_partitions(engine):
     engine.clock_at[0] = dt.datetime(2024, 3, 25, tzinfo=dt.timezone.utc)
     engine.create(reading, {"ts": "2024-03-24T01:00:00Z", "v": 4})
     assert sorted(r.v for r in engine.find(reading).collect()) == [3, 4]
+
+
+def test_accumulate_on_times(engine):
+    one = engine.accumulate(instant, {"ts": "2024-02-01T10:00:00+02:00"}, {"n": inc(2)})
+    two = engine.accumulate(instant, {"ts": "2024-02-01T08:00:00Z"}, {"n": inc(3)})
+    assert (two["id"], two["n"]) == (one["id"], 5) and engine.count(instant) == 1
+    assert len(set(engine.accumulate_many(instant, [({"ts": f"2024-02-01T0{h}:00:00Z"}, {"n": inc()}) for h in (9, 8, 9)]))) == 2
+
+
+def test_accumulate_in_partitions(engine, spark):
+    rows = [(dt.datetime(2024, 2, 20, 5), "a", 1), (dt.datetime(2024, 2, 20, 5), "a", 2), (dt.datetime(2024, 2, 21, 5), "b", 7)]
+    for _ in range(2):
+        engine.accumulate_rows(hourly, ["ts", "site"], {"n": "inc"}, spark.createDataFrame(rows, "ts timestamp, site string, n long"))
+    assert sorted((r.site, r.n) for r in engine.find(hourly, {"ts": {"gte": "2024-02-20T00:00:00Z"}}).collect()) == [("a", 6), ("b", 14)]
+    assert engine.accumulate(hourly, {"ts": "2024-02-21T05:00:00Z", "site": "b"}, {"n": inc(1)})["n"] == 15
+    before = [p for p in engine.store.segments()["hourly"] if "1708387200" in p]
+    assert before == [p for p in engine.store.segments()["hourly"] if p.startswith("_bucket=1708387200/")] and engine.count(hourly) == 2
+    with pytest.raises(QueryError, match="retention"):
+        engine.accumulate(hourly, {"ts": "2024-01-01T05:00:00Z", "site": "b"}, {"n": inc(1)})
+    engine.clock_at[0] = dt.datetime(2024, 3, 22, tzinfo=dt.timezone.utc)
+    engine.accumulate(hourly, {"ts": "2024-03-21T05:00:00Z", "site": "c"}, {"n": inc(1)})
+    assert sorted(r.site for r in engine.find(hourly).collect()) == ["b", "c"]
+
+
+def test_writes_touch_their_files_only(engine):
+    for i in range(4):
+        engine.create(author, {"name": f"n{i}", "age": i})
+    before = set(engine.store.segments()["author"])
+    engine.update_one(author, {"name": "n1"}, {"age": 9})
+    after = set(engine.store.segments()["author"])
+    assert len(before & after) == 3 and engine.delete_many(author, {"name": "n2"}) == 1
+    assert len(before & set(engine.store.segments()["author"])) == 2
+    assert sorted((r.name, r.age) for r in engine.find(author).collect()) == [("n0", 0), ("n1", 9), ("n3", 3)]
+    assert engine.store.vacuum() >= 2 and engine.store.vacuum() == 0 and engine.count(author) == 3
+    with pytest.raises(QueryError, match="already"):
+        engine.create(author, {"name": "n3"})
+
+
+def test_load(engine, spark):
+    assert engine.load(author, spark.createDataFrame([("1", "x", 3), ("2", "y", None)], "id string, name string, age int")) == 2
+    engine.load(tag, spark.createDataFrame([("t1", "p")], "id string, name string"))
+    kinds = "id string, title string, authorId string, tagsIds array<string>, chapters array<struct<name string, notes array<struct<t string>>>>, cover struct<color string>"
+    engine.load(book, spark.createDataFrame([("b1", "one", "1", ["t1", "t1"], [("c1", [("n1",), ("n2",)]), ("c2", [])], ("red",)), ("b2", "two", None, None, None, None)], kinds))
+    found = {r["id"]: r.asDict(recursive=True) for r in engine.find(book, expand={"author": True, "tags": True}).collect()}
+    one, two = found["b1"], found["b2"]
+    assert (one["author"]["name"], [t["name"] for t in one["tags"]], one["cover"]["color"], one["pages"], one["words"]) == ("x", ["p"], "red", 1, [])
+    assert {c["name"]: sorted(n["t"] for n in c["notes"]) for c in one["chapters"]} == {"c1": ["n1", "n2"], "c2": []}
+    assert (two["author"], two["tags"], two["chapters"], two["cover"]) == (None, [], [], None)
+    for bad, kinds in (
+        ([("3", "x")], "id string, name string"),
+        ([("1", "z")], "id string, name string"),
+        ([("3", None)], "id string, name string"),
+        ([("3", "z", 1)], "id string, name string, what int"),
+    ):
+        with pytest.raises(QueryError):
+            engine.load(author, spark.createDataFrame(bad, kinds))
+    for bad in ([("b3", "t", "nobody")], ):
+        with pytest.raises(QueryError):
+            engine.load(book, spark.createDataFrame(bad, "id string, title string, authorId string"))
+    with pytest.raises(QueryError):
+        engine.load(book, spark.createDataFrame([("t",)], "title string"))
+    with pytest.raises(Forbidden):
+        engine.load(author, spark.createDataFrame([("n", 9)], "name string, age int"), check={"age": {"lt": 5}})
+    assert engine.count(author) == 2 and engine.count(book) == 2
+    with pytest.warns(UserWarning, match="beyond the retention"):
+        assert engine.load(reading, spark.createDataFrame([(dt.datetime(2024, 2, 20), 1), (dt.datetime(2023, 2, 20), 2)], "ts timestamp, v int")) == 1
+    assert [r.v for r in engine.find(reading, {"ts": {"gte": "2024-02-19T00:00:00Z"}}).collect()] == [1]
+
+
+def test_nested_reads_cut_to_the_page(engine):
+    a = engine.create(author, {"name": "x"})
+    for i in range(3):
+        engine.create(book, {"title": f"t{i}", "authorId": a["id"], "chapters": [{"name": f"c{i}"}]})
+    found = engine.find(book, order_by={"title": "asc"}, limit=1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("collect_list") :]
+    assert "LeftSemi" in below and found.first()["chapters"][0]["name"] == "c0"
+    assert [r.chapters[0]["name"] for r in engine.find(book, order_by={"title": "desc"}, limit=2).collect()] == ["c2", "c1"]
