@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tessera import schema as s
 from tessera.engine import Engine
 from tessera.functions import add, avg, count, distinct, div, first, histogram, max_, min_, mul, percentile, sub, sum_, time_bucket
+from tessera.functions.filters import condition
+from tessera.plans.predicates import UNSET
 from tessera.sources.binding import Binding, files
 
 region = s.define_entity("region", {"name": s.text().not_null()})
@@ -33,6 +35,8 @@ order = s.define_entity("order", {"status": s.text(), "total": s.float8(), "date
 event = s.define_entity("event", {"ts": s.timestamp(), "user": s.int8(), "type": s.text(), "value": s.float8(), "props": s.jsonb()})
 document = s.define_entity("document", {"text": s.text(), "lang": s.text(), "source": s.text(), "chars": s.int8(), "label": s.owned({"quality": s.int4(), "toxic": s.int4()})})
 embedding = s.define_entity("embedding", {"vector": s.array(s.float4()), "label": s.int4()})
+sentence = s.define_entity("sentence", {"words": s.array(s.text()), "numbers": s.array(s.text()), "source": s.text()})
+person = s.define_entity("person", {"name": s.text(), "sponsor": s.reference(s.self_ref())})
 message = s.define_entity("message", {"conv": s.int8(), "turn": s.int4(), "role": s.text(), "text": s.text()})
 
 
@@ -52,6 +56,8 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
         .bind(event, Binding(at("events"), {"id": "event_id", "createdAt": "ts", "user": "user_id", "type": "event_type"}))
         .bind(document, Binding(at("documents"), {"id": "doc_id", "chars": "n_chars"}, parts={"label": Binding(at("labels"), {"id": None}, parent="doc_id")}))
         .bind(embedding, Binding(at("embeddings"), {"id": "vec_id", "vector": "embedding"}))
+        .bind(sentence, Binding(at("documents"), {"id": "doc_id", "words": F.split("text", " "), "numbers": F.expr("regexp_extract_all(text, '[0-9]+', 0)")}))
+        .bind(person, Binding(at("customer"), {"id": "c_custkey", "name": "c_name", "sponsorId": F.expr("CASE WHEN c_custkey > 0 THEN c_custkey DIV 2 END")}))
         .bind(message, Binding(at("conversations"), {"id": None, "conv": "conv_id"}))
     )
 
@@ -113,14 +119,31 @@ for _name, _where, _sql in (
 
 _find("f09_like", part, {"name": {"like": "%a%e%"}}, "SELECT p_partkey AS id FROM part WHERE p_name LIKE '%a%e%'")
 _find("f10_ilike", part, {"name": {"ilike": "%A%E%"}}, "SELECT p_partkey AS id FROM part WHERE p_name ILIKE '%A%E%'")
-_find("f14_json", event, {"props": {"eq": {"k": 1}}}, "SELECT event_id AS id FROM events WHERE props = '{\"k\":1}'")
-_find("f15_has", embedding, {"not": {"vector": {"has": 0.5}}}, "SELECT vec_id AS id FROM embeddings WHERE NOT list_contains(embedding, 0.5::FLOAT)")
-_find("f16_has_some", embedding, {"vector": {"hasSome": []}}, "SELECT vec_id AS id FROM embeddings WHERE false")
-_find("f17_has_every", embedding, {"vector": {"hasEvery": []}}, "SELECT vec_id AS id FROM embeddings WHERE true")
-_find("f18_is_empty", embedding, {"vector": {"isEmpty": False}}, "SELECT vec_id AS id FROM embeddings WHERE len(embedding) > 0")
+_find("f14_json", event, {"props": {"k": 9}}, "SELECT event_id AS id FROM events WHERE CAST(props->>'k' AS INT) = 9 AND len(json_keys(props)) = 1")
+_find("f14_json_in", event, {"props": {"in": [{"k": 1}, {"k": 58}]}}, "SELECT event_id AS id FROM events WHERE CAST(props->>'k' AS INT) IN (1, 58) AND len(json_keys(props)) = 1")
+_find("f14_json_ne", event, {"props": {"ne": {"k": 9}}}, "SELECT event_id AS id FROM events WHERE NOT (CAST(props->>'k' AS INT) = 9 AND len(json_keys(props)) = 1)")
+_WORDS = "SELECT doc_id AS id FROM documents, (SELECT string_split(text, ' ')) AS t(w) WHERE "
+_find("f15_has", sentence, {"words": {"has": "the"}}, _WORDS + "list_contains(w, 'the')")
+_find("f15_not_has", embedding, {"not": {"vector": {"has": 0.5}}}, "SELECT vec_id AS id FROM embeddings WHERE NOT list_contains(embedding, 0.5::FLOAT)")
+_find("f16_has_some", sentence, {"words": {"hasSome": ["der", "les", "nowhere"]}}, _WORDS + "list_has_any(w, ['der', 'les', 'nowhere'])")
+_find("f16_has_some_empty", embedding, {"vector": {"hasSome": []}}, "SELECT vec_id AS id FROM embeddings WHERE false")
+_find("f17_has_every", sentence, {"words": {"hasEvery": ["the", "of"]}}, _WORDS + "list_has_all(w, ['the', 'of'])")
+_find("f17_has_every_empty", embedding, {"vector": {"hasEvery": []}}, "SELECT vec_id AS id FROM embeddings WHERE true")
+_find("f18_is_empty_true", sentence, {"numbers": {"isEmpty": True}}, "SELECT doc_id AS id FROM documents WHERE len(regexp_extract_all(text, '[0-9]+')) = 0")
+_find("f18_is_empty_false", sentence, {"numbers": {"isEmpty": False}}, "SELECT doc_id AS id FROM documents WHERE len(regexp_extract_all(text, '[0-9]+')) > 0")
+_find("f19_some_like", sentence, {"words": {"some": {"like": "un%", "ne": "un"}}}, _WORDS + "len(list_filter(w, lambda x: x LIKE 'un%' AND x <> 'un')) > 0")
+_find("f19_some_any", sentence, {"numbers": {"some": {}}}, "SELECT doc_id AS id FROM documents WHERE len(regexp_extract_all(text, '[0-9]+')) > 0")
+_find("f20_list_null", sentence, {"words": None}, "SELECT doc_id AS id FROM documents WHERE text IS NULL")
+_find("f23_unset", order, {"status": UNSET, "total": {"gt": 200000, "lt": UNSET}, "items": {"some": UNSET}}, _O + "o_totalprice > 200000")
+_find("f35_bound", customer, {"name": {"in": ["Customer#000000001", "x' OR true --", 'y") OR (1=1']}}, "SELECT c_custkey AS id FROM customer WHERE c_name = 'Customer#000000001'")
+_find("f18_is_empty_vectors", embedding, {"vector": {"isEmpty": False}}, "SELECT vec_id AS id FROM embeddings WHERE len(embedding) > 0")
 _find("f19_some", embedding, {"vector": {"some": {"gt": 0.3}}}, "SELECT vec_id AS id FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.3::FLOAT)) > 0")
 _find("f25_part", document, {"label": {"toxic": 1}}, "SELECT doc_id AS id FROM documents WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND toxic = 1)")
 _find("f25_not_part", document, {"not": {"label": {}}}, "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+_find("f36_contains", customer, condition("name", s.text(), "contains", "r#00000001"), "SELECT c_custkey AS id FROM customer WHERE contains(lower(c_name), 'r#00000001')")
+_find("f36_escaped", customer, {"or": [condition("name", s.text(), "contains", "_"), condition("name", s.text(), "startsWith", "CUSTOMER#0000000")]}, "SELECT c_custkey AS id FROM customer WHERE contains(c_name, '_') OR starts_with(lower(c_name), 'customer#0000000')")
+_find("f36_on", event, condition("ts", s.timestamp(), "on", "2024-01-12T10:00:00Z"), "SELECT event_id AS id FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-12'")
+_find("f36_before_after", event, {"or": [condition("ts", s.timestamp(), "before", "2024-01-03"), condition("ts", s.timestamp(), "after", "2024-01-28")]}, "SELECT event_id AS id FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-03' OR CAST(ts AS DATE) > DATE '2024-01-28'")
 _S = "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem"
 for _q, _sql in (
     ("some", "EXISTS (SELECT 1 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey = p_partkey AND s_acctbal > 9000)"),
@@ -129,6 +152,10 @@ for _q, _sql in (
 ):
     _find(f"f32_links_{_q}", part, {"suppliers": {_q: {"acctbal": {"gt": 9000}}}}, "SELECT p_partkey AS id FROM part WHERE " + _sql)
 
+_find("f32_links_every_rows", part, {"suppliers": {"every": {"acctbal": {"gt": -500}}}}, "SELECT p_partkey AS id FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey = p_partkey AND NOT s_acctbal > -500)")
+_find("f32_links_or", part, {"or": [{"size": 1}, {"not": {"suppliers": {"none": {"acctbal": {"gt": 9500}}}}}]}, "SELECT p_partkey AS id FROM part WHERE p_size = 1 OR EXISTS (SELECT 1 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey = p_partkey AND s_acctbal > 9500)")
+_find("f33_deep_or", order, {"or": [{"total": {"gt": 400000}}, {"items": {"some": {"or": [{"quantity": {"gt": 49.5}}, {"supplier": {"nation": {"region": {"name": "ASIA"}}}}], "not": {"part": {"size": {"lt": 40}}}}}}]}, "SELECT o_orderkey AS id FROM orders WHERE o_totalprice > 400000 OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND (l_quantity > 49.5 OR EXISTS (SELECT 1 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey = l_suppkey AND r_name = 'ASIA')) AND NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size < 40))")
+
 # reading -----------------------------------------------------------------------------------------------------------
 
 query("p01_shape", "SELECT c_custkey AS id, c_name AS name, c_acctbal AS acctbal, c_mktsegment AS segment, c_nationkey AS \"nationId\" FROM customer")(lambda e: e.find(customer).drop("createdAt", "updatedAt"))
@@ -149,6 +176,18 @@ query("p06_part", "SELECT d.doc_id AS id, quality, toxic FROM documents d LEFT J
 query("p07_links", f"SELECT p_partkey AS id, count(s_suppkey) AS suppliers, coalesce(min(s_name), '') AS first FROM part LEFT JOIN ({_S}) ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY p_partkey")(
     lambda e: e.find(part, expand={"suppliers": True}).select("id", F.size("suppliers").cast("long").alias("suppliers"), F.coalesce(F.array_min(F.transform("suppliers", lambda x: x["name"])), F.lit("")).alias("first"))
 )
+query("p04_select_child", "SELECT d.doc_id AS id, quality, toxic, CASE WHEN l.doc_id IS NOT NULL THEN 'id quality toxic createdAt updatedAt' END AS fields FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")(
+    lambda e: (lambda found: found.select("id", "label.quality", "label.toxic", F.when(F.col("label").isNotNull(), F.lit(" ".join(found.schema["label"].dataType.names))).alias("fields")))(e.find(document, select={"label": True}))
+)
+query("p08_self_reference", "SELECT a.c_custkey AS id, b.c_name AS sponsor, c.c_name AS above FROM customer a LEFT JOIN customer b ON a.c_custkey > 0 AND b.c_custkey = a.c_custkey // 2 LEFT JOIN customer c ON b.c_custkey > 0 AND c.c_custkey = b.c_custkey // 2")(
+    lambda e: e.find(person, expand={"sponsor": {"sponsor": True}}).select("id", F.col("sponsor.name").alias("sponsor"), F.col("sponsor.sponsor.name").alias("above"))
+)
+query("p08_self_filter", "SELECT a.c_custkey AS id FROM customer a JOIN customer b ON a.c_custkey > 0 AND b.c_custkey = a.c_custkey // 2 JOIN customer c ON b.c_custkey > 0 AND c.c_custkey = b.c_custkey // 2 WHERE c.c_name < 'Customer#000000100'")(
+    lambda e: e.find(person, {"sponsor": {"sponsor": {"name": {"lt": "Customer#000000100"}}}}).select("id")
+)
+query("p05_page", "SELECT o.id, count(l_orderkey) AS items, round(coalesce(sum(l_quantity), 0), 2) AS quantity FROM (SELECT o_orderkey AS id FROM orders ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey LIMIT 25) o LEFT JOIN lineitem ON l_orderkey = id GROUP BY 1")(
+    lambda e: e.find(order, order_by={"total": "desc"}, limit=25).select("id", F.size("items").cast("long").alias("items"), F.round(F.aggregate("items", F.lit(0.0), lambda a, x: a + x["quantity"]), 2).alias("quantity"))
+)
 query("p11_auto", "SELECT n_nationkey AS id, r_name AS region FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")(lambda e: e.find(nation, expand="auto").select("id", F.col("region.name").alias("region")))
 query("p09_projection", "SELECT p_partkey AS id, p_brand AS brand FROM part WHERE p_size > 40")(lambda e: e.find(s.projection(part, {"brand": True}), {"size": {"gt": 40}}))
 

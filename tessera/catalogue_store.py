@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tessera import catalogue as c
 from tessera import schema as s
-from tessera.functions import count, inc, max_, min_, set_on_insert, sum_
+from tessera.functions import count, histogram, inc, max_, min_, percentile, set_on_insert, sum_
+from tessera.functions.filters import condition
 from tessera.ir import diff, ensure_ids, to_ir
 from tessera.migrate import Catalog, drift, topological
 from tessera.naming import key_column
@@ -532,6 +533,60 @@ def x10_not(spark, sf_dir):
     return Scoped(c.engine(spark, sf_dir), define_scope("rest", [rule])).find(c.order).select("id")
 
 
+# errors ------------------------------------------------------------------------------------------------------------
+
+
+@fixed(
+    "e_reads",
+    "step string, kind string, message string",
+    [
+        ("F13 operator", "QueryError", "order.status: unknown operator equals"),
+        ("F13 empty", "QueryError", "order.status: {} has no operator"),
+        ("F19 operator", "QueryError", "sentence.words: unknown operator like"),
+        ("F20 list", "QueryError", "sentence.words: a list is asked by"),
+        ("F29 quantifier", "QueryError", "order.items: unknown quantifier all"),
+        ("F30 value", "QueryError", "order.customer: a relationship is asked by an object"),
+        ("F34 field", "QueryError", "order has no field what"),
+        ("F36 word", "QueryError", "ts: contains doesn't go with timestamp"),
+        ("O10 list", "QueryError", "order.items: an order goes through single references and parts only"),
+        ("O10 branches", "QueryError", "order.customer: an order has one branch"),
+        ("P3 field", "QueryError", "order has no field what to select"),
+        ("P2 scalar", "QueryError", "order.status can't be expanded"),
+        ("A8 share", "QueryError", "percentile: p is between 0 and 1"),
+        ("A9 bounds", "QueryError", "histogram: bounds are finite and ascend"),
+        ("A19 list", "QueryError", "items is a list"),
+        ("A31 alias", "QueryError", "type is both a group and a result"),
+        ("A32 select", "QueryError", "select is empty"),
+        ("A2 field", "QueryError", "sum: type is no number"),
+    ],
+)
+def e_reads(spark, sf_dir):
+    """What reads and aggregates don't accept, by the number of the operator."""
+    e = c.engine(spark, sf_dir)
+    calls = {
+        "F13 operator": lambda: e.find(c.order, {"status": {"equals": "F"}}),
+        "F13 empty": lambda: e.find(c.order, {"status": {}}),
+        "F19 operator": lambda: e.find(c.sentence, {"words": {"like": "a"}}),
+        "F20 list": lambda: e.find(c.sentence, {"words": ["a"]}),
+        "F29 quantifier": lambda: e.find(c.order, {"items": {"all": {}}}),
+        "F30 value": lambda: e.find(c.order, {"customer": 5}),
+        "F34 field": lambda: e.find(c.order, {"what": 1}),
+        "F36 word": lambda: condition("ts", s.timestamp(), "contains", "x"),
+        "O10 list": lambda: e.find(c.order, order_by={"items": {"line": "asc"}}),
+        "O10 branches": lambda: e.find(c.order, order_by={"customer": {"name": "asc", "segment": "asc"}}),
+        "P3 field": lambda: e.find(c.order, select={"what": True}),
+        "P2 scalar": lambda: e.find(c.order, expand={"status": True}),
+        "A8 share": lambda: e.aggregate(c.event, select={"p": percentile("value", 1.5)}).rows,
+        "A9 bounds": lambda: e.aggregate(c.event, select={"h": histogram("value", [5, 1])}).rows,
+        "A19 list": lambda: e.aggregate(c.order, groupBy=["items.flag"], select={"n": count()}).rows,
+        "A31 alias": lambda: e.aggregate(c.event, groupBy=["type"], select={"type": count()}).rows,
+        "A32 select": lambda: e.aggregate(c.event, groupBy=["type"], select={}).rows,
+        "A2 field": lambda: e.aggregate(c.event, select={"x": sum_("type")}).rows,
+    }
+    cut = lambda kind, message: (kind, message.split("; ")[0].split(" [")[0])  # without the lists of what there is
+    return [(step, *cut(*failure(call))) for step, call in calls.items()]
+
+
 # evolution ---------------------------------------------------------------------------------------------------------
 
 

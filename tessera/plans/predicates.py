@@ -1,7 +1,7 @@
 """`where`: nested conditions as Spark columns and joins.
 
 A condition on a relationship is true or false, never null. At the top of a conjunction it becomes a semi or anti join;
-below `or` and `not` it becomes a marker column from a left join with the distinct keys that fulfil it.
+below `or` and `not` it becomes an EXISTS, which Catalyst plans as an existence join.
 """
 
 from __future__ import annotations
@@ -50,9 +50,12 @@ def literal(value: Any, kind: Column) -> Expr:
 
 def scalar(c: Expr, kind: Column, given: Any, at: str) -> Expr:
     """A condition on a scalar: a value, null, or operators, all of which must hold."""
+    raw = c
+    if kind.label == "unknown":
+        c = F.to_json(F.try_parse_json(c))  # whatever blanks and order of keys the text has
     json_value = kind.label == "unknown" and isinstance(given, Mapping) and not (given and set(given) <= {*SCALAR, "in", "notIn", "isNull"})
     if given is None:
-        return c.isNull()
+        return raw.isNull()
     if not isinstance(given, Mapping) or json_value:
         return c == literal(given, kind)
     if not given:
@@ -62,7 +65,7 @@ def scalar(c: Expr, kind: Column, given: Any, at: str) -> Expr:
         if value is UNSET:
             continue
         if op in ("eq", "ne") and value is None:
-            out.append(c.isNull() if op == "eq" else c.isNotNull())
+            out.append(raw.isNull() if op == "eq" else raw.isNotNull())
         elif op in SCALAR:
             out.append(SCALAR[op](c, literal(value, kind)))
         elif op in ("in", "notIn"):
@@ -74,7 +77,7 @@ def scalar(c: Expr, kind: Column, given: Any, at: str) -> Expr:
                 raise QueryError(f"{at}: {op} is for strings")
             out.append(c.like(value) if op == "like" else c.ilike(value))
         elif op == "isNull":
-            out.append(c.isNull() if value else c.isNotNull())
+            out.append(raw.isNull() if value else raw.isNotNull())
         else:
             raise QueryError(f"{at}: unknown operator {op}; there are {[*SCALAR, 'in', 'notIn', 'like', 'ilike', 'isNull']}")
     return reduce(lambda a, b: a & b, out, F.lit(True)) if out else F.lit(True)
@@ -208,12 +211,13 @@ class Where:
                 raise QueryError(f"{table.name} has no field {key}; there are {[*MANAGED, *table.shape]}")
         return df, reduce(lambda a, b: a & b, parts) if parts else None
 
-    def _marked(self, df: DataFrame, wanted: bool, keys: DataFrame, own: str) -> tuple[DataFrame, Expr]:
+    @staticmethod
+    def _marked(df: DataFrame, wanted: bool, keys: DataFrame, own: str) -> tuple[DataFrame, Expr]:
+        """Whether a row's field is among keys, as a condition inside others: never null, and planned as one join. The
+        field gets a name that nothing below keys has, as names are looked for there first."""
         mark = f"_m{next(_marks)}"
-        keys = keys.select(F.col("_key").alias(f"{mark}k")).distinct().withColumn(mark, F.lit(True))
-        df = df.join(keys, df[own] == keys[f"{mark}k"], "left").drop(f"{mark}k")
-        found = F.coalesce(F.col(mark), F.lit(False))
-        return df, found if wanted else ~found
+        found = keys.where(F.col("_key") == F.col(mark).outer()).exists()
+        return df.withColumn(mark, F.col(own)), found if wanted else ~found
 
     def _exists(self, table: Table, key: str, node: Owned | Reference, where: Mapping[str, Any], broken: bool = False) -> tuple[DataFrame, str]:
         """Keys of rows of table with a related row for which `where` holds (broken: is false), and whose field they are."""
