@@ -11,11 +11,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of rows that go to or from a Python worker at once, where the session doesn't say otherwise: rows may be long.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package's modules to the executors, once for each application."""
+    """Sends the package's modules to the executors, once for each application; bounds batches for Python workers."""
     app = spark.sparkContext.applicationId
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
     if app not in _shipped:
         root = Path(__file__).resolve().parent
         target = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
