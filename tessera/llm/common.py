@@ -6,17 +6,19 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: ASCII white space, as bytes.split() and bytes.strip() take it.
 BLANKS = " \t\n\x0b\x0c\r"
-#: Rows of a narrow table (a few dozen bytes each) that may be broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table, as Spark holds its rows, that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -44,18 +46,50 @@ def store(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def kept(df: DataFrame, name: str = "table") -> DataFrame:
-    """df, written to the shared folder and read again: cuts the lineage and lives through lost executors."""
-    path = f"{shared_folder(df.sparkSession, name)}/rows"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, written to the shared folder and read again: cuts the lineage and lives through lost executors. The files stay
+    until release(), or the session's end."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(f"{folder}/rows")
+    found = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
+    _KEPT[id(found)] = found, folder
+    return found
 
 
-def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has no more than `most` rows; else as it is, for a shuffled join.
+_KEPT: dict[int, tuple[DataFrame, str]] = {}
 
-    df should be a table that is written already (see kept), as it is counted here.
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of tables from kept(), once nothing that is still to be computed reads them."""
+    for df in tables:
+        found, folder = _KEPT.pop(id(df))
+        remove(found.sparkSession, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder with all that is in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in a row."""
+    if isinstance(kind, T.StructType):
+        return reduce(lambda a, b: a + b, [_bytes(value[f.name], f.dataType) for f in kind], F.lit(8))
+    if isinstance(kind, T.ArrayType):
+        each = F.aggregate(value, F.lit(0).cast("long"), lambda a, x: a + _bytes(x, kind.elementType))
+        return F.coalesce(each, F.lit(0)) + 24
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    return F.lit(8).cast("long")
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has no more than `most` bytes; else as it is, for a shuffled join.
+
+    df should be a table that is written already (see kept), as it is measured here.
     """
-    return F.broadcast(df) if df.count() <= most else df
+    size = reduce(lambda a, b: a + b, [_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema], F.lit(8).cast("long"))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -89,8 +123,7 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of words [^\\x20\\x09-\\x0D]+; 0 for null."""
-    words = F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS)), r"[\x20\x09-\x0D]+")
-    return F.size(F.array_remove(words, "")).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

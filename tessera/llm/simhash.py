@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLANKS, kept, shared_folder, small_side, text_key
+from tessera.llm.common import BLANKS, kept, release, remove, shared_folder, small_side, text_key
 from tessera.llm.components import components
 from tessera.llm.elias_fano import held, save
 from tessera.llm.lm import _pack, _unpack
@@ -398,14 +398,14 @@ def _dealt(some: DataFrame, group: int) -> DataFrame:
     cap = group * 1024
     whole = some.groupBy("root", "near").agg(F.count("*").alias("n"), F.sum("n").alias("m"))
     own = F.when((F.col("n") * 2 > group) | (F.col("m") * 2 > cap), F.ceil(F.greatest(F.col("n") / group, F.col("m") / cap)))
-    whole = kept(whole.select("root", "near", "n", "m", own.alias("own")), "nears")
+    whole = whole.select("root", "near", "n", "m", own.alias("own"))
     rest = [F.sum(F.when(F.col("own").isNull(), F.col(c))) for c in "nm"]
     rests = F.coalesce(F.ceil(F.greatest(rest[0] / group, rest[1] / cap)), F.lit(0))
     groups = whole.groupBy("root").agg(rests.alias("rests"), (F.coalesce(F.sum("own"), F.lit(0)) + rests > 1).alias("many"))
-    known = kept(whole.join(small_side(kept(groups, "groups")), "root").select("root", "near", "own", "rests", "many"), "cuts")
+    known = whole.join(groups, "root").select("root", "near", "own", "rests", "many")
     cut = F.xxhash64(F.lit(1), "near", F.pmod(F.xxhash64(F.lit(2), "id"), "own"))
     tile = F.when(F.col("own").isNotNull(), cut).otherwise(F.pmod(F.xxhash64("near"), "rests"))
-    return kept(some.drop("n").join(small_side(known), ["root", "near"]).select("id", "root", tile.alias("tile"), "many"), "dealt")
+    return kept(some.drop("n").join(known, ["root", "near"]).select("id", "root", tile.alias("tile"), "many"), "dealt")
 
 
 def near_classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, text_col: str = "text", group: int = 256, radius: int = 3) -> DataFrame:
@@ -426,7 +426,7 @@ def near_classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, text_col
     index = _shared_shingles(keyed, shingle)
     signs = kept(prints(keyed, shingle, least, index), "prints")
     lows = kept(signs.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("most")), "lows")
-    twins = signs.join(small_side(kept(lows.where("low < most").select("fp", "low"), "twins")), "fp")
+    twins = signs.join(lows.where("low < most").select("fp", "low"), "fp")
     near = candidate_links(lows.select(F.col("low").alias("id"), "fp"), radius).union(twins.select("id", "low"))
     near = kept(components(near).select(F.col("node").alias("id"), F.col("root").alias("near")), "near")
     groups = components(token_links(signs).union(near.select("id", "near"))).withColumnsRenamed({"node": "id"})
@@ -459,7 +459,11 @@ def near_classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, text_col
         pairs = pairs.where("tile_a = start" if step == "first" else "tile_a <> start").select("root", "tile_a", "tile_b")
         more = pairs.repartition(n, "root", "tile_a", "tile_b").mapInPandas(_across(folder, step, least), "u long, v long")
         links = links.union(kept(more, "links"))
-    return kept(components(links).withColumnsRenamed({"root": "class"}), "classes")
+    named = kept(components(links).withColumnsRenamed({"root": "class"}), "classes")
+    release(signs, lows, near, dealt)
+    for own in (folder, index[0][0].rsplit("/", 1)[0]):
+        remove(docs.sparkSession, own)
+    return named
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
