@@ -144,8 +144,9 @@ class Reader:
 
     @staticmethod
     def _list(rows: DataFrame) -> DataFrame:
-        sorted_ = F.array_sort(F.collect_list("_x"))
-        return rows.groupBy("_key").agg(F.transform(sorted_, lambda x: x["o"]).alias("_v"))
+        sorted_ = F.sort_array(F.collect_list("_x"))
+        # dealt out first: nothing is won by collecting lists ahead of the shuffle
+        return rows.repartition(F.col("_key")).groupBy("_key").agg(F.transform(sorted_, lambda x: x["o"]).alias("_v"))
 
     def _attach(self, df: DataFrame, own: str, values: DataFrame, name: str, many: bool) -> DataFrame:
         values = values.select(F.col("_key").alias(f"_k_{name}"), F.col("_v").alias(name))

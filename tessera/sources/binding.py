@@ -21,12 +21,25 @@ from tessera.types import KINDS
 Rows = Callable[[], DataFrame]
 
 
+_schemas: dict[tuple, Any] = {}
+
+
 def files(spark: SparkSession, path: str, form: str = "parquet", schema: Any = None, **options: Any) -> Rows:
-    """Rows of parquet, ORC, CSV or JSON files, or any format that Spark reads."""
+    """Rows of parquet, ORC, CSV or JSON files, or any format that Spark reads. A schema that Spark has to look up in the
+    files is looked up once for a path and the time of its last change."""
 
     def rows() -> DataFrame:
         reader = spark.read.format(form).options(**options)
-        return (reader.schema(schema) if schema else reader).load(path)
+        if schema or set(path) & set("*?[{"):
+            return (reader.schema(schema) if schema else reader).load(path)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        status = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+        key = (form, path, tuple(sorted(options.items())), status.getModificationTime(), status.getLen())
+        if key not in _schemas:
+            found = reader.load(path)
+            _schemas[key] = found.schema
+            return found
+        return reader.schema(_schemas[key]).load(path)
 
     return rows
 
