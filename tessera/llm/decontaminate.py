@@ -2,12 +2,14 @@
 
 A window is `window` consecutive words of a benchmark item (all words of a shorter item). Of each window of a text the
 least hash of its k-word runs is kept as a fingerprint; two equal windows always have the same one, so joining the
-fingerprints finds every text that shares a window. In the texts found so, the windows around each hit are compared
-whole, and the words that they cover are united.
+fingerprints finds every text that shares a window. In the texts found so, each hit is placed and extended: the windows
+that have the fingerprint are compared word by word, by a 128-bit hash, and the words that they cover are united.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,27 +26,58 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
-def _runs(of: Column, size: int, make) -> Column:
-    """make(run) for every run of `size` elements of an array; empty if it is shorter."""
-    starts = F.sequence(F.lit(1), F.size(of) - size + 1)
-    return F.when(F.size(of) >= size, F.transform(starts, lambda i: make(F.slice(of, i, size)))).otherwise(F.array())
+def _shifted(of: Column, by: int) -> Column:
+    return F.slice(of, by + 1, F.greatest(F.size(of) - by, F.lit(0)))
+
+
+def _meet(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f of the elements of two arrays side by side, as far as b goes."""
+    return F.zip_with(F.slice(a, 1, F.size(b)), b, f)
+
 
+def _least(of: Column, width: int) -> Column:
+    """The least of each run of `width` elements, from runs of half the width."""
 
-def marks(of: Column, size: int, window: int, gram: int) -> Column:
-    """The fingerprint of each window of `size` words: the least of its k-gram hashes.
+    def wider(m: Column, n: int) -> Column:
+        by = min(n, width - n)
+        return let(_meet(m, _shifted(m, by), lambda x, y: F.least(x, y)), lambda x: wider(x, n + by)) if by else m
 
-    Windows shorter than `window`, of short items, are their own k-gram.
+    return let(of, lambda x: wider(x, 1))
+
+
+def with_marks(of: Column, sizes: list[int], window: int, gram: int, body: Callable[[dict[int, Column]], Column]) -> Column:
+    """body({size: the fingerprints of the windows of that size, by their place}) of an array of words.
+
+    The hash of a run of words is made from that of the run without its last word. A window of `window` words has the
+    least hash of its runs of `gram` words; a shorter one, of a short item, is a run of its own.
     """
-    if size < window:
-        return _runs(of, size, F.xxhash64)
-    return let(_runs(of, gram, F.xxhash64), lambda hashes: _runs(hashes, size - gram + 1, F.array_min))
+    needed = {gram if n == window else n for n in sizes}
+
+    def step(first: Column, run: Column, n: int, found: dict[int, Column]) -> Column:
+        found = found | {n: run} if n in needed else found
+        if n == max(needed):
+            if window not in sizes:
+                return body({n: found[n] for n in sizes})
+            return let(_least(found[gram], window - gram + 1), lambda m: body({n: m if n == window else found[n] for n in sizes}))
+        return let(_meet(run, _shifted(first, n), lambda a, b: F.xxhash64(a, b)), lambda x: step(first, x, n + 1, found))
 
+    return let(F.transform(of, lambda x: F.xxhash64(x)), lambda x: step(x, x, 1, {}))
 
-def windows(of: Column, size: int, window: int, gram: int) -> Column:
-    """(at, size, mark, whole) of each window of `size` words; whole: the words as a 128-bit hash."""
-    whole = _runs(of, size, lambda run: F.md5(F.concat_ws(" ", run)))
-    both = F.arrays_zip(marks(of, size, window, gram).alias("mark"), whole.alias("whole"))
-    return F.transform(both, lambda x, i: F.struct((i + 1).alias("at"), F.lit(size).alias("size"), x["mark"].alias("mark"), x["whole"].alias("whole")))
+
+def _places(found: dict[int, Column]) -> Column:
+    """(size, at, mark) of all windows."""
+    each = lambda n: lambda x, i: F.struct(F.lit(n).alias("size"), (i + 1).alias("at"), x.alias("mark"))
+    return F.flatten(F.array(*[F.transform(m, each(n)) for n, m in found.items()]))
+
+
+def _distinct(found: dict[int, Column]) -> Column:
+    """(size, mark) of all windows, each once."""
+    each = lambda n: lambda x: F.struct(F.lit(n).alias("size"), x.alias("mark"))
+    return F.flatten(F.array(*[F.transform(F.array_distinct(m), each(n)) for n, m in found.items()]))
+
+
+def _whole(of: Column, at: Column, size: Column) -> Column:
+    return F.md5(F.concat_ws(" ", F.slice(of, at, size)))
 
 
 def _covered(spans: Column) -> Column:
@@ -68,20 +101,24 @@ def hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     spark = docs.sparkSession
     if not sizes:
         return spark.createDataFrame([], "key binary, n_hit long, item_ids array<string>")
-    per_size = [F.when(F.col("size") == n, windows(F.col("w"), n, window, gram)) for n in sizes]
-    known = kept(item.select("item", F.explode(F.coalesce(*per_size)).alias("x")).select("item", "x.size", "x.mark", "x.whole").distinct(), "windows")
+    known = item.select("item", "w", "size", F.explode(with_marks(F.col("w"), sizes, window, gram, _places)).alias("x")).where("x.size = size")
+    known = kept(known.select("item", "x.size", "x.mark", _whole(F.col("w"), F.col("x.at"), F.col("x.size")).alias("whole")).distinct(), "windows")
     prints = small_side(kept(known.select("size", "mark").distinct(), "marks"))
     texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
 
-    marked = let(words(F.col("text")), lambda w: _marked(w, sizes, window, gram))
-    found = texts.select("key", F.explode(marked).alias("x"))
+    found = texts.select("key", F.explode(with_marks(words(F.col("text")), sizes, window, gram, _distinct)).alias("x"))
     found = kept(found.select("key", "x.size", "x.mark").join(prints, ["size", "mark"]).select("key").distinct(), "found")
 
+    # the places of the hits, and the windows there
     near = texts.join(small_side(found), "key")
-    all_windows = let(words(F.col("text")), lambda w: F.flatten(F.array(*[windows(w, n, window, gram) for n in sizes])))
-    near = near.select("key", F.explode(all_windows).alias("x")).select("key", "x.at", "x.size", "x.mark", "x.whole")
+    hit = near.select("key", F.explode(with_marks(words(F.col("text")), sizes, window, gram, _places)).alias("x"))
+    hit = hit.select("key", "x.size", "x.at", "x.mark").join(prints, ["size", "mark"])
+    hit = kept(hit.groupBy("key").agg(F.collect_set(F.struct("size", "at", "mark")).alias("x")), "places")
+    near = texts.join(small_side(hit), "key").select("key", words(F.col("text")).alias("w"), "x").dropDuplicates(["key"])
+    near = near.select("key", let(F.col("w"), lambda w: F.transform("x", lambda x: F.struct(x["size"].alias("size"), x["at"].alias("at"), x["mark"].alias("mark"), _whole(w, x["at"], x["size"]).alias("whole")))).alias("x"))
+    near = near.select("key", F.explode("x").alias("x")).select("key", "x.*")
     whole = small_side(kept(known.select("size", "mark", "whole").distinct(), "wholes"))
-    spans = kept(near.join(whole, ["size", "mark", "whole"]).select("key", "at", "size", "whole").distinct(), "spans")
+    spans = kept(near.join(whole, ["size", "mark", "whole"]).select("key", "at", "size", "whole"), "spans")
     counted = spans.groupBy("key").agg(_covered(F.collect_list(F.struct("at", "size"))).alias("n_hit"))
     listed = spans.select("key", "size", "whole").distinct().join(known.where("item is not null").select("size", "whole", "item").distinct(), ["size", "whole"])
     listed = listed.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
@@ -89,11 +126,6 @@ def hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     return counted.join(listed, "key", "left").select("key", "n_hit", F.coalesce("item_ids", none).alias("item_ids"))
 
 
-def _marked(w: Column, sizes: list[int], window: int, gram: int) -> Column:
-    of = lambda n: F.transform(F.array_distinct(marks(w, n, window, gram)), lambda m: F.struct(F.lit(n).alias("size"), m.alias("mark")))
-    return F.flatten(F.array(*map(of, sizes))) if len(sizes) > 1 else of(sizes[0])
-
-
 def report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """For every row of docs: doc_id, n_words, n_hit, n_items, items_sha256 (of the sorted ids, comma-joined; of the
     empty string if there are none), contaminated (n_hit > 0 and 20 * n_hit >= n_words).
