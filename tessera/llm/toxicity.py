@@ -181,7 +181,7 @@ def _logistic(own: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, weight: n
     a time so that little is held besides the features."""
     lengths = np.array([len(x) for x in own], np.int64)
     starts = np.flatnonzero(np.diff((np.cumsum(lengths) - lengths) // CELLS, prepend=-1))
-    blocks = [(slice(a, b), lengths[a:b], np.concatenate(own[a:b])) for a, b in zip(starts, np.append(starts[1:], len(own)), strict=True)]
+    blocks = [(slice(a, b), lengths[a:b], np.concatenate(own[a:b])) for a, b in zip(starts, [*starts[1:], len(own)][: len(starts)], strict=True)]
     w, bias = np.zeros(len(ratio)), 0.0
     m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for step in range(1, STEPS + 1 if len(y) else 1):
