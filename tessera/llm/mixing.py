@@ -8,7 +8,9 @@ number of words, is sampled evenly.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import kept, packed, small_side, word_count
@@ -17,9 +19,16 @@ WEIGHTS = (5, 2, 1)
 #: Share of all words in the mix, in percent, and the most copies of a source or document.
 SHARE = 150
 MOST = 2
-#: A source is ranked by size in eight steps to a doubling, and each step in so many parts by a hash of the id; one part
-#: of one step is ranked in one task.
-PARTS = 64
+#: Documents of a source, of one of eight steps to a doubling of size, that are ranked in one task, about.
+RANKED = 4096
+#: What the random offsets are drawn from.
+SEED = 7
+
+
+def offset_of(source: Column, seed: int) -> Column:
+    """The random offset of a source, from 0 to below 1: drawn by a seed and its name, so that reruns agree."""
+    name = F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE, most: int = MOST) -> DataFrame:
@@ -45,32 +54,40 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = S
     return dealt.select("source", F.col("size").alias("source_size"), target.alias("target"))
 
 
-def mix(docs: DataFrame, offset: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None, **how) -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None, **how) -> DataFrame:
     """(row: the columns `keep` of docs, or all, as a struct, size, source_size, target, copies) of every row.
 
     A null or blank text has size 0; a source of size 0 has target 0 and gives nothing. The null source is one source.
-    The offset, from 0 to below 1, is the random part of the method: one number for all sources, given by the caller,
-    so that reruns agree. Ties of size go by a hash of the id; repeated rows are emitted each for itself.
+    Each source has one random offset, drawn by the seed. Ties of size go by a hash of the id; repeated rows are emitted
+    each for itself.
     """
     rows = docs.select(packed(keep), F.col(source_col).alias("source"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"))
+    rows = rows if keep is None else kept(rows, "sizes")  # texts are read once; with whole rows, a second time
     bits = F.length(F.bin("size"))
     step = bits * 8 + F.expr("shiftright(size * 8, length(bin(size)) - 1)").cast("int") % 8
-    tie = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
-    part = F.conv(F.substring(tie, 1, 2), 16, 10).cast("int") % PARTS
-    key = rows.select("source", step.alias("step"), part.alias("part"), "size")
-    boxes = kept(key.groupBy("source", "step", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "boxes")
-    totals = kept(targets(boxes.groupBy("source").agg(F.sum("words").alias("size")), **how), "targets")
-    before = Window.partitionBy("source").orderBy("step", "part").rowsBetween(Window.unboundedPreceding, -1)
-    boxes = boxes.select("source", "step", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    facts = boxes.alias("b").join(small_side(totals).alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
-    facts = kept(facts.select("b.source", "step", "part", "start", "source_size", "target"), "starts")
-    rows = rows.select("row", "source", "size", tie.alias("tie"), step.alias("step"), part.alias("part"))
-    f = small_side(facts).alias("f")
-    rows = rows.alias("r").join(f, F.col("r.source").eqNullSafe(F.col("f.source")) & (F.col("r.step") == F.col("f.step")) & (F.col("r.part") == F.col("f.part")))
+    rows = rows.withColumns({"step": step, "tie": F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))})
+    steps = kept(rows.groupBy("source", "step").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "steps")
+    totals = kept(targets(steps.groupBy("source").agg(F.sum("words").alias("size")), **how), "targets")
+    # a step of a source is cut into parts by the hash that settles ties; equal ids are in one part
+    cuts = steps.select("source", "step", F.ceil(F.col("n") / RANKED).alias("parts"))
+    same = lambda a, b, *names: reduce(lambda x, y: x & y, [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names])
+    rows = rows.alias("r").join(small_side(cuts).alias("c"), same("r", "c", "source", "step"))
+    part = F.floor(F.conv(F.substring("tie", 1, 8), 16, 10).cast("double") * F.col("parts") / float(1 << 32)).cast("long")
+    rows = rows.select("row", "r.source", "size", "tie", "r.step", part.alias("part"))
+    boxes = kept(rows.groupBy("source", "step", "part").agg(F.count("*").alias("n")), "boxes")
+    before = Window.partitionBy("source", "step").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    starts = boxes.select("source", "step", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at"))
+    steps = steps.select("source", "step", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("from"))
+    facts = steps.alias("s").join(small_side(totals).alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
+    facts = facts.select("s.source", "step", "from", "source_size", "target")
+    facts = starts.alias("b").join(facts.alias("s"), same("b", "s", "source", "step"))
+    facts = kept(facts.select("b.source", "b.step", "part", (F.col("at") + F.col("from")).alias("start"), "source_size", "target"), "starts")
+    rows = rows.alias("r").join(small_side(facts).alias("f"), same("r", "f", "source", "step", "part"))
     rows = rows.select("row", "size", "tie", "r.source", "r.step", "r.part", "start", "source_size", "target")
     within = Window.partitionBy("source", "step", "part").orderBy("size", "tie")
     at = (F.col("start") + F.row_number().over(within) - 1).cast("double")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = rows.select("row", "size", "source_size", "target", at.alias("at"), each.alias("each"))
-    crossed = F.floor((F.col("at") + 1) * F.col("each") + offset) - F.floor(F.col("at") * F.col("each") + offset)
+    rows = rows.select("row", "size", "source_size", "target", at.alias("at"), each.alias("each"), offset_of(F.col("source"), seed).alias("offset"))
+    crossed = F.floor((F.col("at") + 1) * F.col("each") + F.col("offset")) - F.floor(F.col("at") * F.col("each") + F.col("offset"))
     return rows.select("row", "size", "source_size", "target", F.least(crossed, F.ceil("each")).cast("long").alias("copies"))
