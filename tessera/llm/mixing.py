@@ -31,26 +31,35 @@ def offset_of(source: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows, and for each of some sums that over all rows ahead in a total order. The rows are dealt out by ranges; only
+    a row for each range comes together."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    ranges, ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
+    starts = starts.select("_range", *[F.coalesce(F.sum(f"_{k}").over(ranges), F.lit(0)).alias(f"_{k}") for k in sums])
+    both = dealt.join(F.broadcast(starts), "_range")
+    return both.select(*rows.columns, *[(F.col(f"_{k}") + F.coalesce(F.sum(c).over(ahead), F.lit(0))).alias(k) for k, c in sums.items()])
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE, most: int = MOST) -> DataFrame:
-    """Adds `target` to a table of sources (source, size).
+    """(source, source_size, target) of a table of sources (source, size).
 
     Sources by code point, null last, take the weights in turn. `share` percent of all words is dealt by weight; what a
     source gets beyond `most` times its size is dealt again to the others. In closed form: in the order of size by
-    weight the first k sources are filled up, for the k from which on none is above. The windows without a partition
-    run over one row for each source.
+    weight the first k sources are filled up, for the k from which on none is above. There may be any number of sources.
     """
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(weights))) + 1).cast("int"))
-    dealt = sizes.select("source", "size", w.alias("weight"))
-    order = Window.orderBy((F.col("size") / F.col("weight")), F.col("source").asc_nulls_last())
-    before, every = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    full = F.coalesce(F.sum("size").over(before), F.lit(0)) * most
-    rest = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    dealt = dealt.select("*", (F.sum("size").over(every) * share / 100 - full).alias("left"), rest.alias("rest"))
+    dealt = running(sizes.select("source", "size"), [F.col("source").asc_nulls_last()], {"rank": F.lit(1)})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int"))
+    dealt = dealt.select("source", "size", weight.alias("weight"))
+    dealt = running(dealt, [F.col("size") / F.col("weight"), F.col("source").asc_nulls_last()], {"full": F.col("size"), "gone": F.col("weight")})
+    total, whole = dealt.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    dealt = dealt.select("*", (F.lit(total * share / 100) - F.col("full") * most).alias("left"), (F.lit(whole) - F.col("gone")).alias("rest"))
     above = F.col("size") * most * F.col("rest") <= F.col("left") * F.col("weight")
     # of the sources that aren't filled up, the first has the most weight left
-    left = F.max_by(F.when(~above, F.col("left")), F.when(~above, F.col("rest"))).over(every)
-    rest = F.max(F.when(~above, F.col("rest"))).over(every)
-    target = F.when(above, F.col("size") * F.lit(float(most))).otherwise(left * F.col("weight") / rest)
+    left, rest = dealt.where(~above).agg(F.max_by("left", "rest"), F.max("rest")).first()
+    target = F.when(above, F.col("size") * F.lit(float(most))).otherwise(F.lit(left).cast("double") * F.col("weight") / F.lit(rest))
     return dealt.select("source", F.col("size").alias("source_size"), target.alias("target"))
 
 
