@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import kept
 
-TREES = 64
-BITS = 24
+TREES = 256
+BITS = 30
 #: Vectors of a block and queries of a chunk, in the mean.
-BLOCK = 8192
-CHUNK = 512
-#: A query ascends in a block until it has this share of it as candidates, or all of a block of LEAST vectors.
-SHARE = 0.45
-LEAST = 1024
+BLOCK = 16384
+CHUNK = 256
+#: A query ascends in a block of n vectors until it has RATE * n ** POWER candidates: 44 % of 2,000, 21 % of 16,384.
+RATE = 6.3
+POWER = 0.65
 
 
 def takes_part(vector: Column) -> Column:
@@ -33,17 +33,22 @@ def takes_part(vector: Column) -> Column:
 
 
 def planes(dim: int, trees: int = TREES, bits: int = BITS) -> np.ndarray:
-    """The random planes (dim x trees * bits), the same for each block."""
-    return np.random.default_rng(dim).standard_normal((dim, trees * bits)).astype(np.float32)
+    """The random planes (dim x trees * bits), the same for each block; as many as there are dimensions stand at right
+    angles to each other, so that they tell more apart."""
+    rng, n = np.random.default_rng(dim), trees * bits
+    return np.concatenate([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-n // dim))], axis=1)[:, :n].astype(np.float32)
 
 
-def strings(vectors: np.ndarray, centre: np.ndarray, trees: int = TREES, bits: int = BITS) -> np.ndarray:
-    """The bit string of each vector in each tree, as a number (vector x tree), below the tree's own number."""
+def strings(vectors: np.ndarray, centre: np.ndarray, cut: np.ndarray, trees: int = TREES, bits: int = BITS) -> np.ndarray:
+    """The bit string of each vector in each tree (vector x tree), the sides of its planes `cut`."""
     vectors = vectors - centre
-    side = (vectors / np.maximum(np.abs(vectors).max(axis=1, keepdims=True), 1e-300)).astype(np.float32) @ planes(vectors.shape[1], trees, bits) > 0
+    vectors = (vectors / np.maximum(np.abs(vectors).max(axis=1, keepdims=True), 1e-300)).astype(np.float32)
     powers = (1 << np.arange(bits - 1, -1, -1)).astype(np.float64)
-    number = (side.reshape(len(vectors), trees, bits) @ powers).astype(np.int64)
-    return number + (np.arange(trees, dtype=np.int64) << (bits + 1))
+    out = np.zeros((len(vectors), trees), np.uint32)
+    for at in range(0, len(vectors), 256):
+        side = vectors[at : at + 256] @ cut > 0
+        out[at : at + 256] = side.reshape(-1, trees, bits) @ powers
+    return out
 
 
 def _blocks(trees: int, bits: int):
@@ -52,12 +57,13 @@ def _blocks(trees: int, bits: int):
         pdf = pdf.sort_values("id", kind="stable")
         vectors = np.stack(pdf["vector"].to_list()).astype(np.float64)
         centre = vectors.mean(axis=0)
-        numbers = strings(vectors, centre, trees, bits)
+        numbers = strings(vectors, centre, planes(vectors.shape[1], trees, bits), trees, bits)
         order = np.argsort(numbers, axis=0, kind="stable")
         row = {
             "dim": vectors.shape[1],
             "block": pdf["block"].iloc[0],
             "ids": pdf["id"].to_numpy(np.int64).tobytes(),
+            "times": pdf["times"].to_numpy(np.int64).tobytes(),
             "vectors": vectors.tobytes(),
             "centre": centre.tobytes(),
             "sorted": np.take_along_axis(numbers, order, axis=0).T.tobytes(),
@@ -68,71 +74,84 @@ def _blocks(trees: int, bits: int):
     return build
 
 
-def _candidates(flat: np.ndarray, whose: np.ndarray, numbers: np.ndarray, n: int, want: int, bits: int) -> Iterator[np.ndarray]:
-    """For each query (numbers: query x tree) the candidates' places in the block."""
-    low, high = [], []
-    for level in range(bits + 1):  # the length of the common prefix
-        shift = bits - level
-        start = numbers >> shift << shift
-        low.append(np.searchsorted(flat, start))
-        high.append(np.searchsorted(flat, start + (1 << shift)))
+def candidates(flat: np.ndarray, whose: np.ndarray, numbers: np.ndarray, want: int, bits: int) -> Iterator[np.ndarray]:
+    """For each query (numbers: query x tree) the places in the block of its candidates; flat, whose: tree x vector."""
+    trees, n = flat.shape
+    low, high = (np.empty((bits + 1, len(numbers), trees), np.int32) for _ in range(2))
+    for t in range(trees):
+        for level in range(bits + 1):  # the length of the common prefix
+            shift = bits - level
+            start = numbers[:, t].astype(np.int64) >> shift << shift
+            low[level, :, t] = np.searchsorted(flat[t], start.astype(np.uint32))
+            high[level, :, t] = np.searchsorted(flat[t], (start + (1 << shift) - 1).astype(np.uint32), side="right")
+    base, flat_whose = np.arange(trees) * n, whose.reshape(-1)
+
+    def held(q: int, level: int) -> np.ndarray:
+        """Who shares `level` bits with a query, tree by tree."""
+        length = (high[level, q] - low[level, q]).astype(np.int64)
+        ends = np.cumsum(length)
+        return flat_whose[np.arange(ends[-1]) + np.repeat(base + low[level, q] - (ends - length), length)]
+
     for q in range(len(numbers)):
-        level = bits
-        while level > 0 and (high[level][q] - low[level][q]).sum() < want:
-            level -= 1
-        while True:
-            marked = np.zeros(n, bool)
-            for a, b in zip(low[level][q].tolist(), high[level][q].tolist(), strict=True):
-                marked[whose[a:b]] = True
-            found = np.flatnonzero(marked)
-            if len(found) >= want or level == 0:
-                break
+        size = (high[:, q].astype(np.int64) - low[:, q]).sum(axis=1)
+        level = int(np.flatnonzero(size >= min(want, size[0]))[-1])
+        marked = np.zeros(n, bool)
+        marked[held(q, min(level + 1, bits))] = True
+        while level >= 0 and (missing := want - np.count_nonzero(marked)) > 0:
+            new = held(q, level)
+            new = new[~marked[new]]
+            which, first = np.unique(new, return_index=True)
+            marked[which[np.argsort(first)[:missing]]] = True  # the first trees' ones, on the level that suffices
             level -= 1
-        yield found
+        yield np.flatnonzero(marked)
 
 
-def _search(k: int, trees: int, bits: int, share: float, least: int):
+def _search(k: int, trees: int, bits: int, rate: float, power: float):
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            out = []
+            out = [pd.DataFrame({"query_id": [], "query": [], "copies": [], "vec_id": [], "score": []})]
             for row in pdf.itertuples():
-                ids = np.frombuffer(row.ids, np.int64)
-                vectors = np.frombuffer(row.vectors, np.float64).reshape(len(ids), row.dim)
-                flat, whose = np.frombuffer(row.sorted, np.int64), np.frombuffer(row.whose, np.int32)
-                asked = np.asarray(row.query_ids)
+                ids, times = np.frombuffer(row.ids, np.int64), np.frombuffer(row.times, np.int64)
+                n = len(ids)
+                vectors = np.frombuffer(row.vectors, np.float64).reshape(n, row.dim)
+                flat, whose = np.frombuffer(row.sorted, np.uint32).reshape(trees, n), np.frombuffer(row.whose, np.int32).reshape(trees, n)
                 queries = np.stack(list(row.query_vectors)).astype(np.float64)
-                numbers = strings(queries, np.frombuffer(row.centre), trees, bits)
-                want = min(len(ids), max(least, int(share * len(ids))))
-                for i, found in enumerate(_candidates(flat, whose, numbers, len(ids), want, bits)):
-                    found = found[ids[found] != asked[i]]
+                numbers = strings(queries, np.frombuffer(row.centre), planes(row.dim, trees, bits), trees, bits)
+                want = min(n, int(np.ceil(rate * n**power)))
+                for i, found in enumerate(candidates(flat, whose, numbers, want, bits)):
                     far = np.sqrt(((vectors[found] - queries[i]) ** 2).sum(axis=1))
-                    best = np.lexsort((ids[found], far))[:k]
-                    out.append(pd.DataFrame({"query_id": asked[i], "vec_id": ids[found][best], "score": far[best]}))
-            yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                    # rows that repeat id and vector count each; the query's own row doesn't
+                    left = times[found] - ((ids[found] == row.query_ids[i]) & (vectors[found] == queries[i]).all(axis=1))
+                    best = np.lexsort((ids[found], far))
+                    best = np.repeat(best, np.minimum(left[best], k))[:k]
+                    out.append(pd.DataFrame({"query_id": row.query_ids[i], "query": row.queries[i], "copies": row.copies[i], "vec_id": ids[found][best], "score": far[best]}))
+            yield pd.concat(out)
 
     return run
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, bits: int = BITS, block: int = BLOCK, chunk: int = CHUNK, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, bits: int = BITS, block: int = BLOCK, chunk: int = CHUNK, rate: float = RATE, power: float = POWER) -> DataFrame:
     """(query_id, rank, vec_id, score): of each row for which `queries` holds, the k nearest other rows that are found.
 
     score is the Euclidean distance in double precision; equal ones go by the smaller id. Rows with a null id, and those
     that don't take part (see takes_part), are neither found nor asked for. Only vectors of equal length are compared.
-    Rows that repeat both id and vector are one; a row with the query's own id isn't found. A query with fewer rows gets all of
-    them; a block of `least` vectors or fewer is looked through whole.
+    Every row but the query's own can be found, also one that has its id or repeats it; a query that is there n times
+    has n results. A query with fewer than k other rows gets all of them if its blocks have no more than `rate` *
+    n ** `power` vectors; else it may miss some, as always.
     """
     rows = vectors.where(F.col(id_col).isNotNull() & takes_part(F.col(vector_col)))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.size(vector_col).alias("dim"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    rows = kept(rows.dropDuplicates(["id", "vector"]), "vectors")
+    rows = kept(rows.groupBy("id", "vector").agg(F.first("dim").alias("dim"), F.max("asks").alias("asks"), F.count("*").alias("times")), "vectors")
     cut = rows.groupBy("dim").agg(F.ceil(F.count("*") / block).alias("blocks"), F.ceil(F.sum(F.col("asks").cast("int")) / chunk).alias("chunks"))
     cut = kept(cut, "dims")  # a row for each length of vectors
     dealt = rows.join(F.broadcast(cut), "dim")
     index = dealt.withColumn("block", F.pmod(F.xxhash64("id", "vector"), "blocks")).groupBy("dim", "block")
-    index = kept(index.applyInPandas(_blocks(trees, bits), "dim int, block long, ids binary, vectors binary, centre binary, sorted binary, whose binary"), "forest")
-    asks = dealt.where("asks").withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "id"), "chunks"))
-    asks = asks.groupBy("dim", "chunk").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("id", "vector")).alias("q"))
+    index = kept(index.applyInPandas(_blocks(trees, bits), "dim int, block long, ids binary, times binary, vectors binary, centre binary, sorted binary, whose binary"), "forest")
+    asks = dealt.where("asks").withColumn("query", F.xxhash64("id", "vector")).withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "id"), "chunks"))
+    asks = asks.groupBy("dim", "chunk").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("id", "query", "times", "vector")).alias("q"))
     asks = asks.select("dim", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    asks = asks.select("dim", "block", F.col("q.id").alias("query_ids"), F.col("q.vector").alias("query_vectors"))
-    found = index.join(asks, ["dim", "block"]).mapInPandas(_search(k, trees, bits, share, least), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asks = asks.select("dim", "block", F.col("q.id").alias("query_ids"), F.col("q.query").alias("queries"), F.col("q.times").alias("copies"), F.col("q.vector").alias("query_vectors"))
+    found = index.join(asks, ["dim", "block"]).mapInPandas(_search(k, trees, bits, rate, power), "query_id long, query long, copies long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy("score", "vec_id"))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
