@@ -1,9 +1,10 @@
 """Line dedup over levelled, sorted runs of line hashes.
 
-A run is a table of (key: 128-bit line hash, docs: documents of one or more batches that hold it, first: whether no
-earlier run has it), bucketed and sorted by key, so that joins between runs and batches merge without a shuffle. Each
-batch is anti-joined with the runs there are, and added as a run of level 0; when a level has `fanout` runs they are
-merged into one of the next level.
+A run is a table of (key: 128-bit line hash, docs: rows of its batch that hold it), bucketed and sorted by key, so that
+joins of runs and batches merge without a shuffle. Each batch is anti-joined with the runs there are: keys that none of
+them has become a run of level 0, so that every key is in one run only; the other keys of the batch are repeats, a table
+of the same form. When a level has `fanout` runs they are merged into one of the next level. The count of a key is that
+of its run and of its repeats.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLANKS, ascii_lower, kept, packed, shared_folder, small_side, text_key
+from tessera.llm.common import BLANKS, ascii_lower, kept, packed, remove, shared_folder, small_side, text_key
+
+#: Bytes of input whose line keys go to one bucket.
+BUCKET_BYTES = 32 << 20
 
 
 def line_keys(text: Column) -> Column:
@@ -30,72 +34,86 @@ class LineRuns:
     """The levelled runs of a corpus that comes in batches, in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 3) -> None:
-        """buckets: as many as a shuffle has partitions, if not given, so that a bucket is written by one task."""
+        """buckets: as many as a shuffle has partitions, if not given."""
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.folder, self.levels = shared_folder(spark, "runs"), [[]]
+        self.folder, self.levels, self.repeats, self.staged = shared_folder(spark, "runs"), [[]], [], []
 
     def _write(self, rows: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
-        rows = rows.repartition(self.buckets, "key")
-        rows.write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        self.staged.append(name)
+        # hashes don't get shorter, and each writer and reader of compressed files holds buffers outside the heap
+        rows.write.bucketBy(self.buckets, "key").sortBy("key").option("compression", "none").option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows as a table with the buckets of runs, so that its joins with them take no shuffle; until close()."""
+        return self.spark.table(self._write(rows.coalesce(self.buckets)))
+
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 
     def add(self, batch: DataFrame) -> None:
-        """Adds a batch: (key, docs), a row for each key. Keys that no run has yet are marked as first."""
-        seen = batch
-        for i, run in enumerate(self.runs()):
-            seen = seen.join(run.select("key", F.lit(True).alias(f"in_{i}")), "key", "left")
-        new = reduce(lambda a, i: a & F.col(f"in_{i}").isNull(), range(len(self.runs())), F.lit(True))
-        self.levels[0].append(self._write(seen.select("key", "docs", new.alias("first"))))
+        """Adds a batch: (key, docs), a row for each key."""
+        fresh = reduce(lambda rows, run: rows.join(run.select("key"), "key", "left_anti"), self.runs(), batch)
+        run = self._write(fresh.select("key", "docs"))
+        if self.runs():
+            self.repeats.append(self._write(batch.join(self.spark.table(run).select("key"), "key", "left_anti").select("key", "docs")))
+        self.levels[0].append(run)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             if level + 1 == len(self.levels):
                 self.levels.append([])
             old, self.levels[level] = self.levels[level], []
             self.levels[level + 1].append(self._write(self._merged(old)))
-            for name in old:
-                self.spark.sql(f"DROP TABLE {name}")
+            self._drop(old)
             level += 1
 
     def _merged(self, names: list[str]) -> DataFrame:
-        """The runs merged, by full joins of their sorted buckets; a union would lose the buckets."""
+        """The sums of tables by key, by full joins of their sorted buckets; a union would lose the buckets."""
 
         def merge(a: DataFrame, b: DataFrame) -> DataFrame:
-            b = b.select("key", F.col("docs").alias("more"), F.col("first").alias("too"))
             docs = F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))
-            first = F.coalesce("first", F.lit(False)) | F.coalesce("too", F.lit(False))
-            return a.join(b, "key", "full").select("key", docs.alias("docs"), first.alias("first"))
+            return a.join(b.select("key", F.col("docs").alias("more")), "key", "full").select("key", docs.alias("docs"))
 
         return reduce(merge, map(self.spark.table, names))
 
     def counts(self) -> DataFrame:
-        """(key, docs) over all batches, a row for each key."""
-        names = [name for level in self.levels for name in level]
-        return self._merged(names).select("key", "docs")
+        """(key, docs) over all batches, a row for each key: what its one run has, and its repeats."""
+        if not self.repeats:
+            return reduce(DataFrame.union, self.runs())
+        more = self._merged(self.repeats).withColumnRenamed("docs", "more")
+        return reduce(DataFrame.union, [run.join(more, "key", "left").select("key", (F.col("docs") + F.coalesce("more", F.lit(0))).alias("docs")) for run in self.runs()])
 
     def close(self) -> None:
-        for level in self.levels:
-            for name in level:
-                self.spark.sql(f"DROP TABLE {name}")
-        self.levels = [[]]
+        self._drop(self.staged)
+        remove(self.spark, self.folder)
+        self.levels, self.repeats, self.staged = [[]], [], []
+
+
+def _buckets(docs: DataFrame) -> int:
+    """One for BUCKET_BYTES of the tables that docs is read from, within the number of partitions that shuffles have."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(8, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES))
 
 
 def frequent(docs: DataFrame, at_least: int = 10, batches: int = 4, text_col: str = "text") -> DataFrame:
-    """(key): hex hashes of the line keys that at least so many rows of docs hold. Each row counts as a document, also
-    a repeated one. The rows come in `batches` parts, by a hash of the text."""
+    """(key): hex hashes of the line keys that at least so many rows of docs hold. A document is a row: one that repeats
+    counts again, whatever its id. The rows come in `batches` parts, by a hash of the text."""
     keys = docs.select(F.pmod(F.xxhash64(text_col), F.lit(batches)).alias("batch"), F.explode(line_keys(F.col(text_col))).alias("key"))
-    keys = keys.groupBy("batch", F.unhex("key").alias("key")).agg(F.count("*").alias("docs"))
-    keys = kept(keys, "line-counts")
-    runs = LineRuns(docs.sparkSession)
-    for i in range(batches):
-        runs.add(keys.where(F.col("batch") == i).select("key", "docs"))
-    found = kept(runs.counts().where(F.col("docs") >= at_least).select(F.lower(F.hex("key")).alias("key")), "frequent")
-    runs.close()
-    return found
+    keys = keys.groupBy(F.unhex("key").alias("key")).agg(*[F.count(F.when(F.col("batch") == i, 1)).alias(f"docs_{i}") for i in range(batches)])
+    runs = LineRuns(docs.sparkSession, _buckets(docs))
+    try:
+        keys = runs.dealt(keys)
+        for i in range(batches):
+            runs.add(keys.where(F.col(f"docs_{i}") > 0).select("key", F.col(f"docs_{i}").alias("docs")))
+        return kept(runs.counts().where(F.col("docs") >= at_least).select(F.lower(F.hex("key")).alias("key")), "frequent")
+    finally:
+        runs.close()
 
 
 def _without(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
@@ -115,14 +133,14 @@ def drop_lines(docs: DataFrame, at_least: int = 10, text_col: str = "text", keep
     """(row: the columns `keep` of docs, or all, as a struct, n_lines, n_dropped, kept: the text without the lines that drop).
 
     A line's key is the line with white space [\\x20\\x09-\\x0D] stripped at both ends and A-Z in lower case. Lines whose
-    key has a character and is found in `at_least` rows are dropped from every row. Null and empty texts are one empty
+    key has a character and is found in `at_least` rows are dropped from every row; repeated rows and ids count as rows. Null and empty texts are one empty
     line; such lines are never dropped. A text all of whose lines drop becomes empty.
     """
     hot = small_side(frequent(docs, at_least, text_col=text_col, **how))
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = text_key(text)
     held = docs.select(key.alias("k"), F.explode(line_keys(F.col(text_col))).alias("key")).join(hot, "key")
-    drops = small_side(kept(held.groupBy("k").agg(F.collect_set("key").alias("drop")), "drops"), 100_000)
+    drops = small_side(kept(held.groupBy("k").agg(F.collect_set("key").alias("drop")), "drops"))
     rows = docs.select(packed(keep), text.alias("text"), key.alias("key")).join(drops, F.col("key") == F.col("k"), "left")
     without = F.pandas_udf(_without, "text string, dropped long")
     cut = without(F.when(F.col("drop").isNotNull(), F.col("text")), "drop")
