@@ -135,6 +135,18 @@ def test_layouts(spark):
     for i, name in enumerate(records):
         assert {r.layout for r in by[i]} == {name} and [(r.role, r.text) for r in by[i]] == [("user", "q"), ("assistant", "" if name == "messages" else "a")]
     assert all(by[i][0].layout is None and by[i][0].text == dict(rows)[i] for i in (90, 91, 92, 93))
+    extra = [
+        ({"id": 7, "messages": [{"role": "user", "content": "q", "name": "n"}], "meta": {"k": [1]}}, "messages", [("user", "q")]),
+        ({"instruction": "q", "output": "a", "source": None}, "instruction", [("user", "q"), ("assistant", "a")]),
+        ({"instruction": "q", "input": "i", "output": "a", "k": 1}, "instruction and input", [("user", "q"), ("user", "i"), ("assistant", "a")]),
+        ({"messages": []}, "messages", [(None, None)]),
+        ({"id": 1, "conversations": []}, "conversations", [(None, None)]),
+        ({"messages": {}}, None, [(None, '{"messages": {}}')]),
+        ({}, None, [(None, "{}")]),
+    ]
+    got = chat.canonical(spark.createDataFrame([(i, json.dumps(r)) for i, (r, _, _) in enumerate(extra)], "id long, record string"), "id", "record").collect()
+    for i, (_, name, turns) in enumerate(extra):
+        assert [(r.role, r.text) for r in got if r.conv_id == i] == turns and {r.layout for r in got if r.conv_id == i} == {name}
     typed = spark.createDataFrame([], "prompt string, response string").schema
     assert chat.mapping_of(typed).name == "prompt and response"
     assert chat.mapping_of(spark.createDataFrame([], "messages array<struct<content:string,role:string>>").schema).name == "messages"
@@ -146,27 +158,27 @@ def test_layouts(spark):
 
 
 def plain_neighbours(rows, k=10):
-    good = {(i, tuple(map(float, v))) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
-    out = {}
-    for i, v in good:
+    """(query, rank, id, score) of each row whose id is divisible by 100, over every row but its own."""
+    good = [(i, tuple(map(float, v))) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = []
+    for at, (i, v) in enumerate(good):
         if i % 100 == 0:
-            near = sorted((math.sqrt(sum((a - b) ** 2 for a, b in zip(v, w, strict=True))), j) for j, w in good if j != i and len(w) == len(v))
-            out[i] = near[:k]
-    return out
+            near = sorted((math.sqrt(sum((a - b) ** 2 for a, b in zip(v, w, strict=True))), j) for n, (j, w) in enumerate(good) if n != at and len(w) == len(v))
+            out += [(i, rank, j, round(d, 9)) for rank, (d, j) in enumerate(near[:k], 1)]
+    return Counter(out)
 
 
 def test_forest_small(spark):
+    """Odd vectors, repeated rows and ids, ties and lengths, with so many candidates that nothing is missed."""
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.standard_normal(6)]) for i in range(400)]
-    rows += [(1000 + i, rows[0][1]) for i in range(30)] + [(500, None), (600, [0.0] * 6), (700, [1.0, None] * 3), (800, [float("nan")] * 6), (900, [float("inf")] + [1.0] * 5), (1100, [1.0, 2.0]), (1101, [1.0, 2.5]), (None, [1.0] * 6), rows[3], rows[100]]
+    rows += [(1000 + i, rows[0][1]) for i in range(30)] + [(500, None), (600, [0.0] * 6), (700, [1.0, None] * 3), (800, [float("nan")] * 6), (900, [float("inf")] + [1.0] * 5), (1100, [1.0, 2.0]), (1101, [1.0, 2.5]), (None, [1.0] * 6)]
+    rows += [rows[3], *[rows[100]] * 12, (200, rows[5][1]), (200, rows[6][1]), (100, rows[7][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit(0))
-    got = defaultdict(list)
-    for r in forest.search(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.score, r.vec_id))
-    exact = plain_neighbours([(r.vec_id, r.embedding) for r in df.collect()])
-    assert got.keys() == {k for k, v in exact.items() if v} and 500 not in got
-    for q, near in exact.items():
-        assert [j for _, j in got[q]] == [j for _, j in near] and np.allclose([d for d, _ in got[q]], [d for d, _ in near], rtol=1e-12)
+    found = forest.search(df, F.col("vec_id") % 100 == 0, rate=100.0)
+    assert found.columns == ["query_id", "rank", "vec_id", "score"]
+    got = Counter((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in found.collect())
+    assert got == plain_neighbours([(r.vec_id, r.embedding) for r in df.collect()])
     assert forest.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
@@ -184,6 +196,40 @@ def test_forest_recall(spark):
     assert hits / 600 >= 0.9
 
 
+@pytest.mark.parametrize("n", [300, 2000, 5000])
+def test_forest_saves_work(n):
+    """Recall of 0.9 with a share of the vectors that falls as they grow; no size is looked through whole."""
+    rng = np.random.default_rng(n)
+    v = rng.standard_normal((n, 64))
+    v /= np.sqrt((v**2).sum(axis=1, keepdims=True))
+    cut = forest.planes(64)
+    numbers = forest.strings(v, v.mean(axis=0), cut)
+    order = np.argsort(numbers, axis=0, kind="stable")
+    want = min(n, math.ceil(forest.RATE * n**forest.POWER))
+    hits = looked = 0
+    for q, found in enumerate(forest.candidates(np.ascontiguousarray(np.take_along_axis(numbers, order, axis=0).T), np.ascontiguousarray(order.T.astype(np.int32)), numbers[:60], want, forest.BITS)):
+        far = ((v - v[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        hits += len(set(found.tolist()) & set(np.argsort(far)[:10].tolist()))
+        looked += len(found)
+    assert hits / 600 >= 0.9 and looked == 60 * want < 60 * n * (1 if n < 1000 else 0.5)
+
+
+def test_prefixes_agree():
+    """Strings of a tree: equal vectors share all bits, the longest prefixes come first among the candidates."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((500, 16))
+    v[100:140] = v[7]
+    numbers = forest.strings(v, v.mean(axis=0), forest.planes(16, 8, 12), 8, 12)
+    order = np.argsort(numbers, axis=0, kind="stable")
+    flat, whose = np.take_along_axis(numbers, order, axis=0).T, order.T.astype(np.int32)
+    length = np.where(numbers == numbers[7], 12, 12 - np.floor(np.log2(np.maximum(numbers ^ numbers[7], 1))).astype(int) - 1).max(axis=1)
+    for want in (41, 60, 200, 500):
+        (found,) = forest.candidates(flat, whose, numbers[7:8], want, 12)
+        assert len(found) == want and {7, *range(100, 140)} <= set(found.tolist())
+        assert length[found].min() >= np.sort(length)[::-1][want - 1]
+
+
 # language model ----------------------------------------------------------------------------------------------------
 
 

@@ -67,3 +67,6 @@ def test_awkward_rows(spark, awkward, empty, tmp_path):
             got = stage(spark, docs, str(tmp_path))
             assert set(awkward.columns) <= set(got.columns) and (got.columns == awkward.columns or name == "mix")
             assert (got.count() > 0) == some
+    named = STAGES["mix"](spark, awkward.withColumns({"Copy": F.lit(5), "copy_2": F.lit(6)}), str(tmp_path))
+    named.write.parquet(f"{tmp_path}/named")
+    assert named.columns[-3:] == ["Copy", "copy_2", "copy_3"] and {r["Copy"] for r in named.collect()} == {5}

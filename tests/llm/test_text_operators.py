@@ -7,12 +7,13 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import components, decontaminate, langid, lines, mixing, simhash, toxicity
+from tessera.llm import components, decontaminate, langid, lines, mixing, ngrams, queries, simhash, toxicity
 
 from .conftest import AWKWARD, prose
 
@@ -186,16 +187,39 @@ def test_lines(spark, rng, awkward, empty):
 
 
 def test_line_runs(spark):
-    runs, want, first = lines.LineRuns(spark, buckets=3, fanout=2), Counter(), []
+    """Every key is in one run, that of the batch that had it first, whatever was merged since; its count has the rest."""
+    runs, want = lines.LineRuns(spark, buckets=3, fanout=2), Counter()
     for b in range(7):
         batch = {f"k{(b * 5 + i) % 17}".encode(): i + 1 for i in range(6)}
-        first.append(len(batch.keys() - want.keys()))
+        fresh = batch.keys() - want.keys()
         runs.add(spark.createDataFrame([(bytearray(k), n) for k, n in batch.items()], "key binary, docs long"))
         want.update(batch)
-        assert all(len(level) < 2 for level in runs.levels)
+        held = Counter(bytes(r.key) for run in runs.runs() for r in run.collect())
+        assert held == Counter(want.keys()) and all(len(level) < 2 for level in runs.levels)
+        if b and not len(runs.levels[0]) == 0:
+            assert {bytes(r.key) for r in runs.runs()[0].collect()} == fresh
         assert {bytes(r.key): r.docs for r in runs.counts().collect()} == dict(want)
-    assert len(want) == sum(first)
     runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
+
+
+def test_lines_without_tables_left(spark, monkeypatch):
+    monkeypatch.setattr(lines.LineRuns, "counts", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        lines.drop_lines(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
+
+
+def test_lines_of_repeated_rows(spark, tmp_path):
+    """A row is a document, in the query and in its SQL, also where ids and whole rows repeat."""
+    import duckdb
+
+    rows = [(1, "twice\nten"), (1, "twice\nten"), (None, "ten"), (None, " TEN \nx"), *[(5, "ten")] * 6, (6, None), (7, "nine"), *[(8, "nine")] * 8]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(repr, map(tuple, queries.op9_lines(spark, str(tmp_path)).collect())))
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(map(repr, duckdb.sql(queries.OP9_SQL).fetchall()))
+    assert sum("'nine'" in x for x in got) == 0 and len(got) == len(rows)
 
 
 # mixing ------------------------------------------------------------------------------------------------------------
@@ -243,6 +267,30 @@ def test_mix(spark, rng, awkward, empty):
     assert mixing.mix(awkward.where("text is null")).collect()[0].copies == 0
 
 
+def test_mix_is_systematic(spark, rng, monkeypatch):
+    """One random offset for each source; a document for each whole number that the running sum crosses; parts by count."""
+    monkeypatch.setattr(mixing, "RANKED", 16)
+    rows = [(i, prose(rng, int(rng.lognormvariate(3, 0.5))), rng.choice(["a", "b", None])) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    offsets = set()
+    for seed in (7, 8):
+        got = mixing.mix(docs, seed=seed, keep=["doc_id", "source"]).collect()
+        where = docs.select("source", mixing.offset_of(F.col("source"), seed).alias("o")).distinct().collect()
+        for r in where:
+            own = [x for x in got if x.row.source == r.source]
+            rate = own[0].target / own[0].source_size
+            assert 0 <= r.o < 1 and abs(sum(x.copies for x in own) - len(own) * rate) < 1
+            offsets.add(r.o)
+            # every stretch of the order by size has its share
+            order = sorted(own, key=lambda x: x.size)
+            half = sum(x.copies for x in order if x.size < order[len(order) // 2].size)
+            n = sum(x.size < order[len(order) // 2].size for x in order)
+            assert abs(half - n * rate) <= 0.15 * n + 8
+    assert len(offsets) == 6
+    drawn = spark.createDataFrame([("x",)], "source string").select(*[mixing.offset_of(F.col("source"), i).alias(f"o{i}") for i in range(200)]).first()
+    assert 0 <= min(drawn) < 0.1 and 0.9 < max(drawn) < 1 and 0.4 < sum(drawn) / 200 < 0.6
+
+
 # classifiers -------------------------------------------------------------------------------------------------------
 
 
@@ -257,16 +305,117 @@ def test_language(spark, rng, awkward, empty):
     assert langid.predict(empty, model).count() == 0
     none = langid.train(empty)
     assert none.predict("text") == ("und", 0.0)
-    text = prose(rng, 30, "fr")
-    direct = sum(model.matrix[s].sum(axis=0) for s in langid.slots_of(text, len(model.matrix))) + model.prior
-    assert model.predict(text)[0] == model.languages[int(direct.argmax())]
 
 
-def test_language_chunks(monkeypatch, rng):
-    text = prose(rng, 300)
-    whole = [np.sort(np.concatenate(x)) for x in [list(langid.slots_of(text, 1 << 12))]]
-    monkeypatch.setattr(langid, "CHUNK", 37)
-    assert (np.sort(np.concatenate(list(langid.slots_of(text, 1 << 12)))) == whole[0]).all()
+def plain_grams(text, orders):
+    text = f" {(text or '').lower()} "
+    return Counter(text[i : i + n] for n in orders for i in range(len(text) - n + 1))
+
+
+def gram_hash(gram):
+    """Of one n-gram, character by character."""
+    run, most = 0, (1 << 64) - 1
+    for n, c in enumerate(gram, 1):
+        run = (run + ord(c) + n) * 0x9E3779B97F4A7C15 & most
+        run ^= run >> 31
+    return run * 0x9E3779B97F4A7C15 & most
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 64, 1 << 18])
+def test_ngrams(monkeypatch, chunk, rng):
+    monkeypatch.setattr(ngrams, "CHUNK", chunk)
+    texts = [None, "", "a", "Ab", "é漢🙂\ud800", prose(rng, 9), "", "xyxyxyxy"]
+    got = Counter()
+    for owner, h in ngrams.hashed(texts, (1, 3, 4)):
+        assert (np.diff(owner) >= 0).all()
+        got.update(zip(owner.tolist(), h.tolist(), strict=True))
+    want = Counter()
+    for i, t in enumerate(texts):
+        for gram, n in plain_grams(t, (1, 3, 4)).items():
+            want[i, gram_hash(gram)] += n
+    assert got == want
+
+
+def test_language_counts(spark, rng):
+    """Counts, priors, matrix and posteriors against sums over n-grams."""
+    rows = [(prose(rng, rng.randint(1, 12), lang), lang) for lang in ("en", "fr", "de", "fr") for _ in range(6)]
+    rows += [(rows[0][0], "en")] * 3 + [("nothing", None), (None, "en"), ("", "de")]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    used = [r for r in rows if None not in r]
+    languages = sorted({lang for _, lang in used})
+    counts = {x: Counter() for x in languages}
+    for text, lang in set(used):
+        for gram, n in plain_grams(text, (1, 2, 3)).items():
+            counts[lang][gram_hash(gram) >> 48] += n
+    assert model.languages == languages
+    prior = Counter(lang for _, lang in used)
+    whole = {x: sum(counts[x].values()) + 0.5 * langid.SLOTS for x in languages}
+    p = lambda lang, slot: np.log((counts[lang][slot] + 0.5) / whole[lang])
+    for i, lang in enumerate(languages):
+        assert abs(model.prior[i] - np.log(prior[lang] / len(used))) < 1e-9
+        for slot in (0, 1, *counts[lang]):
+            assert abs(model.matrix[slot, i] - p(lang, slot)) < 1e-5
+    texts = [prose(rng, 8, "fr"), "x", "q" * 40]
+    for text, (_, r) in zip(texts, model.predict_all(texts).iterrows(), strict=True):
+        total = {x: np.log(prior[x] / len(used)) + sum(n * p(x, gram_hash(g) >> 48) for g, n in plain_grams(text, (1, 2, 3)).items()) for x in languages}
+        best = max(languages, key=lambda x: total[x])
+        assert r.lang_pred == best and abs(r.score - 1 / sum(np.exp(t - total[best]) for t in total.values())) < 1e-3
+
+
+def test_language_blocks(monkeypatch, rng):
+    """Many languages and small blocks give the sums of one gather."""
+    texts, made = [prose(rng, 30) for _ in range(5)] + ["", None], np.random.default_rng(1)
+    model = langid.Model([f"l{i:03}" for i in range(300)], made.standard_normal((langid.SLOTS, 300)).astype(np.float32), made.standard_normal(300))
+    monkeypatch.setattr(langid, "CELLS", 900)
+    direct = np.array([model.prior + sum(model.matrix[s].sum(axis=0, dtype=np.float64) for _, s in langid.slots_of([t])) for t in texts])
+    assert np.allclose(model.totals(texts), direct)
+
+
+def test_language_sample(spark, rng):
+    """Copies of one text don't make the sample larger; the bound of languages holds."""
+    rows = [("the same text again", "en")] * 500 + [(prose(rng, 9), "en") for _ in range(300)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), per_language=80)
+    mass = (np.exp(model.matrix[:, 0].astype(float)) / np.exp(model.matrix[:, 0].min().astype(float)) - 1).sum() / 2
+    assert 5 * 3 * 20 < mass < 80 * 3 * 150
+    with pytest.raises(ValueError):
+        langid.train(spark.range(langid.LANGUAGES + 1).selectExpr("'t' AS text", "cast(id AS string) AS lang"))
+
+
+def test_toxicity_counts(spark, rng, monkeypatch):
+    """n-grams, their counts, evidence and log ratios against sums over texts; scores by the model's own weights."""
+    monkeypatch.setattr(toxicity, "TEXTS", 7)
+    texts = [(prose(rng, 20) + (" vile" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(60)] + [("", 0), ("x" * 900, 1)]
+    sample = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(texts)], "id long, text string, label int")
+    n = np.array([sum(y == 0 for _, y in texts), sum(y for _, y in texts)], float)
+    got = {h: (a, b) for h, a, b in zip(*(x.tolist() for x in toxicity.counted(sample, n)), strict=True)}
+    seen = defaultdict(lambda: [0, 0])
+    for t, y in texts:
+        for gram in plain_grams(t, (3, 4, 5, 6)):
+            seen[gram_hash(gram)][1 - y] += 1
+    want = {}
+    for h, (ones, zeros) in seen.items():
+        cells = [(ones, ones + zeros, n[1]), (n[1] - ones, n.sum() - ones - zeros, n[1]), (zeros, ones + zeros, n[0]), (n[0] - zeros, n.sum() - ones - zeros, n[0])]
+        g = sum(2 * x * np.log(x * n.sum() / (r * c)) for x, r, c in cells if x)
+        if ones + zeros >= toxicity.LEAST_TEXTS and g >= toxicity.LEAST_EVIDENCE:
+            want[h] = (ones, zeros)
+    assert got == want and len(want) > 5
+    ratio = toxicity.log_ratio(np.array([3.0]), np.array([1.0]), n)
+    assert abs(ratio[0] - np.log(3.5 / (n[1] + 1) / (1.5 / (n[0] + 1)))) < 1e-12
+    model = toxicity.fit(sample, n)
+    weights = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
+    for t, _ in [*texts, (None, 0)]:
+        z = model.bias + sum(weights.get(gram_hash(g), 0) for g in plain_grams(t, (3, 4, 5, 6)))
+        assert abs(model.score(t) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_toxicity_pieces(monkeypatch, rng, spark):
+    """A long text has each feature once, wherever it is cut."""
+    grams = sorted({gram_hash(g) for g in plain_grams("vile words here", (3, 4, 5, 6))})
+    model = toxicity.Model(np.array(grams, np.uint64), np.linspace(-1, 1, len(grams)), 0.1)
+    texts = [prose(rng, 400) + " vile words " * 30, "vile", None]
+    whole = model.scores(texts)
+    monkeypatch.setattr(ngrams, "CHUNK", 11)
+    assert (model.scores(texts) == whole).all()
 
 
 def test_toxicity(spark, rng, awkward, empty):
