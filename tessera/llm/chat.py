@@ -97,25 +97,40 @@ def registry(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
     return {fingerprint(m.paths()): m for m in mappings}
 
 
+def _fitting(paths: set[str], mappings: tuple[Mapping, ...], empty: frozenset[str] = frozenset()) -> Mapping | None:
+    """The mapping with just these paths, by its fingerprint; else that of the most paths that are all there, or whose
+    list is there without a message (empty: paths of empty lists); the first of equals."""
+    if found := registry(mappings).get(fingerprint(paths)):
+        return found
+    fits = [m for m in mappings if m.paths() <= paths or m.list and m.list in empty]
+    return max(fits, key=lambda m: len(m.paths()), default=None)
+
+
 def mapping_of(schema: T.StructType, mappings: tuple[Mapping, ...] = MAPPINGS) -> Mapping:
     """The mapping of a table. If no layout has just its paths, that of the most paths that are all there, so that extra
     columns don't matter; KeyError if there is none."""
     paths = paths_of_schema(schema)
-    if found := registry(mappings).get(fingerprint(paths)):
+    if found := _fitting(paths, mappings):
         return found
-    fits = [m for m in mappings if m.paths() <= paths]
-    if not fits:
-        raise KeyError(f"no mapping for the fields {sorted(paths)}")
-    return max(fits, key=lambda m: len(m.paths()))
+    raise KeyError(f"no mapping for the fields {sorted(paths)}")
+
+
+def mapping_of_record(record: object, mappings: tuple[Mapping, ...] = MAPPINGS) -> Mapping | None:
+    """As mapping_of, of a parsed JSON object; an empty list of messages is a conversation without turns."""
+    if not isinstance(record, dict):
+        return None
+    empty = frozenset(m.list for m in mappings if m.list and _at(record, m.list) == [])
+    return _fitting(paths_of_record(record), tuple(m for m in mappings if not m.row), empty)
 
 
 def canonical(records: DataFrame, id_col: str, json_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Records of any layout as JSON text to turn rows: (conv_id, turn, role, text, layout).
 
-    A record whose fingerprint is unknown, or that isn't a JSON object, gives one row with a null turn, role and layout
-    and the record as its text, so that nothing is lost; a null record likewise.
+    A record with more fields than a layout's is taken by the layout of the most paths that are all there (see
+    mapping_of). One that fits none, or that isn't a JSON object, gives one row with a null turn, role and layout and the
+    record as its text, so that nothing is lost; a null record likewise. A conversation without turns gives one row with
+    its layout and null turn, role and text.
     """
-    known = registry(mappings)
 
     def convert(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
@@ -125,8 +140,9 @@ def canonical(records: DataFrame, id_col: str, json_col: str, mappings: tuple[Ma
                     record = json.loads(text) if text else None
                 except ValueError:
                     record = None
-                m = known.get(fingerprint(paths_of_record(record))) if isinstance(record, dict) else None
-                rows += [(key, i, r, t, m.name) for i, (r, t) in enumerate(m.turns(record))] if m else [(key, None, None, text, None)]
+                m = mapping_of_record(record, mappings)
+                turns = [(key, i, r, t, m.name) for i, (r, t) in enumerate(m.turns(record))] if m else [(key, None, None, text, None)]
+                rows += turns or [(key, None, None, None, m.name)]
             yield pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text", "layout"]).astype({"turn": "Int32"})
 
     kind = records.schema[id_col].dataType.simpleString()

@@ -138,8 +138,8 @@ OP7_SQL = r"""
 WITH doc AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS tie,
     CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
-boxed AS (
-  SELECT *, length(bin(size)) * 8 + ((size * 8) >> (length(bin(size)) - 1)) % 8 AS step, CAST('0x' || substr(tie, 1, 2) AS INT) % 64 AS part FROM doc),
+stepped AS (SELECT *, length(bin(size)) * 8 + ((size * 8) >> (length(bin(size)) - 1)) % 8 AS step, CAST('0x' || substr(tie, 1, 8) AS BIGINT) AS u FROM doc),
+boxed AS (SELECT *, floor(u * ceil(count(*) OVER (PARTITION BY source, step) / 4096.0::DOUBLE) / 4294967296.0::DOUBLE) AS part FROM stepped),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY step, part, size, tie) - 1 AS pos FROM boxed),
 total AS (SELECT source, CAST(sum(size) AS BIGINT) AS size FROM doc GROUP BY source),
 weighed AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM total),
@@ -150,19 +150,21 @@ judged AS (SELECT *, size * 2 * rest <= left_ * weight AS above FROM summed),
 goal AS (
   SELECT source, size AS source_size, CASE WHEN above THEN size * 2.0::DOUBLE
     ELSE CAST(arg_max(left_, rest) FILTER (WHERE NOT above) OVER () AS DOUBLE) * weight / max(rest) FILTER (WHERE NOT above) OVER () END AS target FROM judged),
-rated AS (SELECT r.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM ranked r JOIN goal g ON r.source IS NOT DISTINCT FROM g.source)
+rated AS (SELECT r.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+  CAST('0x' || substr(md5('7:' || coalesce('=' || r.source, 'null')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS o FROM ranked r JOIN goal g ON r.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
-  CAST(size * least(floor((pos + 1) * rate + 0.5) - floor(pos * rate + 0.5), ceil(rate)) AS BIGINT) AS taken FROM rated
+  CAST(size * least(floor((pos + 1) * rate + o) - floor(pos * rate + o), ceil(rate)) AS BIGINT) AS taken FROM rated
 """
 
 OP9_SQL = rf"""
-WITH line AS (
-  SELECT doc_id, i, x, trim({_LOW.format("x")}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
-  FROM (SELECT doc_id, l[i] AS x, i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS t(i))),
-hot AS (SELECT k FROM line WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+WITH doc AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents),
+line AS (
+  SELECT doc_id, r, i, x, trim({_LOW.format("x")}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
+  FROM (SELECT doc_id, r, l[i] AS x, i FROM (SELECT doc_id, r, string_split(coalesce(text, ''), chr(10)) AS l FROM doc), unnest(range(1, len(l) + 1)) AS t(i))),
+hot AS (SELECT k FROM line WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE k IN (FROM hot)) AS n_dropped,
   sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE k NOT IN (FROM hot)), '')) AS kept_sha256
-FROM line GROUP BY doc_id
+FROM line GROUP BY doc_id, r
 """
 
 ORACLE_SQL: dict[str, str] = {
