@@ -185,29 +185,33 @@ class Reader:
             raise QueryError("latestPer names no field")
         return out
 
-    def find(self, what: Entity | Projection | str, where: Any = None, order_by: Mapping[str, Any] | None = None, expand: Any = None, select: Any = None, latest_per: Any = None, limit: int | None = None, offset: int | None = None, before: Any = None, only: DataFrame | None = None) -> DataFrame:
-        """Objects as rows. before: a condition that holds ahead of all others, of a scope. only: a table of the ids (k)
+    def find(self, what: Entity | Projection | str, where: Any = None, order_by: Mapping[str, Any] | bool | None = None, expand: Any = None, select: Any = None, latest_per: Any = None, limit: int | None = None, offset: int | None = None, before: Any = None, only: DataFrame | None = None) -> DataFrame:
+        """Objects as rows. order_by=False: in any order, for callers that join or count and needn't pay for a sort; there
+        are no pages then. before: a condition that holds ahead of all others, of a scope. only: a table of the ids (k)
         that are wanted."""
+        unordered, order_by = order_by is False, order_by or {}
+        if unordered and (limit is not None or offset):
+            raise QueryError("a page needs an order")
         if isinstance(what, Projection):
             what, select = what.entity, what.select if select is None else select
         table = self.registry.table(what)
         rows = table.rows()
         rows = rows if only is None else rows.join(only, rows["id"] == only["k"], "left_semi")
         df = self.where.keep(self.where.keep(rows, table, before), table, where)
-        df, keys = self._order(df, table, order_by or {})
+        df, keys = self._order(df, table, order_by)
         if latest_per:
             groups = self._latest_names(table, latest_per)
             first = Window.partitionBy(*groups).orderBy(*[ordered(F.col(c), how) for c, how in keys])
             df = df.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
             df = df.withColumns({f"_g{i}": F.col(g) for i, g in enumerate(groups)})
-            keys = [(f"_g{i}", (order_by or {}).get(g, "asc")) for i, g in enumerate(groups)] + keys
+            keys = [(f"_g{i}", order_by.get(g, "asc")) for i, g in enumerate(groups)] + keys
         order = [ordered(F.col(c), how) for c, how in keys]
         if limit is not None or offset:
             df = df.orderBy(*order)
             df = df.offset(offset) if offset else df
             df = df.limit(limit) if limit is not None else df
         df, names = self._shaped(df, table, None if expand == "auto" else expand, select, expand == "auto", limit is not None or only is not None)
-        return df.orderBy(*order).select(*names)
+        return (df if unordered else df.orderBy(*order)).select(*names)
 
     def count_rows(self, what: Entity | Projection | str, where: Any = None, latest_per: Any = None, before: Any = None) -> DataFrame:
         """One row: count. Under latest_per, of groups: a null single key is none, null parts of several keys are."""

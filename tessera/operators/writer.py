@@ -358,7 +358,7 @@ class Writer(Engine):
     # verbs ---------------------------------------------------------------------------------------------------------
 
     def _read(self, entity: Entity, ids: Sequence[str]) -> list[dict]:
-        rows = {r["id"]: r.asDict(recursive=True) for r in self.find(entity, only=self._keys(ids)).collect()}
+        rows = {r["id"]: r.asDict(recursive=True) for r in self.find(entity, order_by=False, only=self._keys(ids)).collect()}
         return [rows[i] for i in ids if i in rows]
 
     def create(self, entity: Entity, x: Mapping[str, Any], check: Any = None) -> dict:

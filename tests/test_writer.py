@@ -210,3 +210,7 @@ def test_nested_reads_cut_to_the_page(engine):
     below = plan[plan.index("collect_list") :]
     assert "LeftSemi" in below and found.first()["chapters"][0]["name"] == "c0"
     assert [r.chapters[0]["name"] for r in engine.find(book, order_by={"title": "desc"}, limit=2).collect()] == ["c2", "c1"]
+    loose = engine.find(book, {"title": {"ne": "t1"}}, order_by=False, select={"title": True})
+    assert "Sort" not in loose._jdf.queryExecution().optimizedPlan().toString() and sorted(r.title for r in loose.collect()) == ["t0", "t2"]
+    with pytest.raises(QueryError):
+        engine.find(book, order_by=False, limit=1)
