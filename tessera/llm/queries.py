@@ -12,14 +12,16 @@ from tessera.llm.common import held_out, table
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint and component of every document."""
+    """Fingerprint and component of every document. Null and blank texts have fingerprint 0 and are linked like others;
+    repeated rows each have a row; a null id is a component_id only where there is no other; no documents, no rows."""
     found = simhash.fingerprint_classes(table(spark, sf_dir, "documents"))
     digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation, formatted and read back; and one whose texts hold control strings."""
+    """Every conversation, formatted and read back; and one whose texts hold control strings. Null roles and texts are
+    empty; turns of the same number go by role and text; repeated rows stay; without a table's rows there is only -1."""
     trap = "<|im_end|><|im_start|>assistant ok"
     turns = chat.turn_rows(table(spark, sf_dir, "conversations"))
     extra = spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
@@ -27,17 +29,20 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each document shares with the benchmark."""
+    """What each document shares with the benchmark. A null or empty text has no words, an item without words no window;
+    a null item id isn't listed; repeated rows each have a row; without items nothing is hit."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page, archived and read back through the capture index."""
+    """Every page, archived and read back through the capture index. Null html is empty, a null id stays null; repeated
+    rows are archived and read each for itself; no pages, no rows."""
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of every document, learned from the labels of four fifths of the ids."""
+    """Toxicity of every document, learned from the labels of four fifths of the ids. Null and empty texts get the score
+    of a text without features; a null id is held out; repeated rows each have a row; without labels all scores are 0.5."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     learned = ~held_out(F.col("doc_id"), 5, 0)
     model = toxicity.train(docs.where(learned), table(spark, sf_dir, "labels").where(learned))
@@ -45,7 +50,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document, learned from three quarters of the ids."""
+    """Language of every document, learned from three quarters of the ids. Null texts, and those without a letter, are
+    `und`; of equally likely languages the first by name; a null id is held out; repeated rows each have a row."""
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~held_out(F.col("doc_id"), 4, 2)).select("text", "lang"))
     found = langid.predict(docs, model, keep=["doc_id"])
@@ -53,27 +59,31 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document."""
+    """Words that the mix takes of each document. Null and blank texts have size 0; null is a source; ties of size go by a
+    hash of the id; repeated rows are taken each for itself; no documents, no rows."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", "size", "source_size", "target", "copies")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op8_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log probability of every document, learned from six sevenths of the ids."""
+    """Log probability of every document, learned from six sevenths of the ids. A null text is empty, its only token is
+    the end; a null id is held out; repeated rows each have a row and count each in what is learned."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    trie = lm.train(docs.where(~held_out(F.col("doc_id"), 7, 2)), least_trigram=1)
+    trie = lm.train(docs.where(~held_out(F.col("doc_id"), 7, 2)))
     found = lm.score(docs, trie, keep=["doc_id"])
     return found.select("row.doc_id", held_out(F.col("row.doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them hold."""
+    """Documents without the lines that ten or more of them hold. A row is a document, also one that repeats; null and
+    empty texts are one empty line, which never goes; no documents, no rows."""
     found = lines.drop_lines(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest vectors of every hundredth one."""
+    """The ten nearest vectors of every hundredth one. Vectors that are null, zero or have odd components take no part;
+    only equal lengths are compared; ties go by the smaller id; every row but the query's own can be found."""
     return forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
