@@ -45,10 +45,17 @@ def store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
 
 
-def kept(df: DataFrame, name: str = "table") -> DataFrame:
+#: Rows of a narrow table that go to one file, if their number is known beforehand; and files at least.
+FILE_ROWS = 250_000
+FILES = 8
+
+
+def kept(df: DataFrame, name: str = "table", most: int | None = None) -> DataFrame:
     """df, written to the shared folder and read again: cuts the lineage and lives through lost executors. The files stay
-    until release(), or the session's end."""
+    until release(), or the session's end. most: about how many rows there may be, so that a small table isn't written
+    as many small files, whatever the number of partitions that shuffles have."""
     folder = shared_folder(df.sparkSession, name)
+    df = df if most is None else df.coalesce(max(FILES, most // FILE_ROWS))
     df.write.parquet(f"{folder}/rows")
     found = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
     _KEPT[id(found)] = found, folder

@@ -24,6 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = kept(e, "edges")
+    most = e.count()  # no round makes more of them
     while not _stars(e):
         before = e
         both = e.union(e.select("v", "u"))
@@ -34,6 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         e = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m")).where("u <> v")
-        e = kept(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        e = kept(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", most)
         release(before)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())

@@ -214,7 +214,7 @@ def candidate_links(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFram
     for c in count:
         cell = cell * base + c
     nodes = nodes.select("id", "fp", cell.alias("cell"))
-    cells = kept(nodes.groupBy("cell").agg(F.ceil(F.count("*") / tile).alias("chunks")), "cells")  # 83,521 rows at most
+    cells = kept(nodes.groupBy("cell").agg(F.ceil(F.count("*") / tile).alias("chunks")), "cells", 83_521)
     tiles = nodes.join(F.broadcast(cells), "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks"))
     tiles = tiles.groupBy("cell", "chunk").agg(F.collect_list(F.struct("fp", "id")).alias("x"))
     tiles = kept(tiles.select("cell", "chunk", F.col("x.fp").alias("fp"), F.col("x.id").alias("id")), "tiles")
@@ -383,15 +383,16 @@ def fingerprint_classes(docs: DataFrame, radius: int = 3, size: int = 3, id_col:
     result. A null id never is a component_id, unless no row of the component has another. Other columns are left out.
     """
     rows = kept(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), size).alias("fingerprint")), "prints")
-    distinct = kept(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("low")), "distinct")
+    n = rows.count()
+    distinct = kept(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("low")), "distinct", n)
     links = kept(candidate_links(distinct.select(F.col("fp").alias("id"), "fp"), radius), "links")
     roots = distinct.join(components(links), F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     least = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = kept(roots.join(least, "root").select(F.col("fp").alias("fingerprint"), "component_id"), "named")
+    named = kept(roots.join(least, "root").select(F.col("fp").alias("fingerprint"), "component_id"), "named", n)
     return rows.join(small_side(named), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def _dealt(some: DataFrame, group: int) -> DataFrame:
+def _dealt(some: DataFrame, group: int, most: int) -> DataFrame:
     """(id, root, tile, many: whether its group has other tiles) of texts (id, root: candidate group, near: group of near
     fingerprints in it, n: shingles). Near fingerprints share a tile; a tile has about `group` texts, of 1,024 shingles
     each, at most: larger groups of near fingerprints are cut by a hash, smaller ones put together."""
@@ -405,7 +406,7 @@ def _dealt(some: DataFrame, group: int) -> DataFrame:
     known = whole.join(groups, "root").select("root", "near", "own", "rests", "many")
     cut = F.xxhash64(F.lit(1), "near", F.pmod(F.xxhash64(F.lit(2), "id"), "own"))
     tile = F.when(F.col("own").isNotNull(), cut).otherwise(F.pmod(F.xxhash64("near"), "rests"))
-    return kept(some.drop("n").join(known, ["root", "near"]).select("id", "root", tile.alias("tile"), "many"), "dealt")
+    return kept(some.drop("n").join(known, ["root", "near"]).select("id", "root", tile.alias("tile"), "many"), "dealt", most)
 
 
 def near_classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, text_col: str = "text", group: int = 256, radius: int = 3) -> DataFrame:
@@ -425,13 +426,14 @@ def near_classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, text_col
     keyed = docs.select(F.xxhash64(text_key(F.col(text_col))).alias("id"), F.col(text_col).alias("text"))
     index = _shared_shingles(keyed, shingle)
     signs = kept(prints(keyed, shingle, least, index), "prints")
-    lows = kept(signs.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("most")), "lows")
+    n = signs.count()
+    lows = kept(signs.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("most")), "lows", n)
     twins = signs.join(lows.where("low < most").select("fp", "low"), "fp")
     near = candidate_links(lows.select(F.col("low").alias("id"), "fp"), radius).union(twins.select("id", "low"))
-    near = kept(components(near).select(F.col("node").alias("id"), F.col("root").alias("near")), "near")
+    near = kept(components(near).select(F.col("node").alias("id"), F.col("root").alias("near")), "near", n)
     groups = components(token_links(signs).union(near.select("id", "near"))).withColumnsRenamed({"node": "id"})
     some = groups.join(near, "id", "left").join(signs.select("id", "n"), "id").select("id", "root", F.coalesce("near", "id").alias("near"), "n")
-    dealt = _dealt(kept(some, "candidates"), group)
+    dealt = _dealt(kept(some, "candidates", n), group, n)
     folder = shared_folder(docs.sparkSession, "tiles")
 
     def sets(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -447,19 +449,19 @@ def near_classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, text_col
     texts = keyed.join(small_side(dealt), "id").mapInPandas(sets, "id long, root long, tile long, many boolean, shingles binary, tokens binary")
     texts = texts.repartition("root", "tile").sortWithinPartitions("root", "tile")
     links = kept(texts.mapInPandas(_within(folder, least), "u long, v long"), "links")
-    several, n = dealt.where("many"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    several, parts = dealt.where("many"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for step in ("first", "rest"):
         classes = components(links).withColumnsRenamed({"node": "id", "root": "class"})
         tiles = several.join(classes, "id", "left").groupBy("root", "tile").agg(F.collect_list(F.struct("id", F.coalesce("class", "id").alias("class"))).alias("x"))
         tiles = tiles.select("root", "tile", F.col("x.id").alias("ids"), F.col("x.class").alias("classes"))
-        tiles = kept(tiles.mapInPandas(_classed(folder, step), "root long, tile long, low long, high long"), "classed")
+        tiles = kept(tiles.mapInPandas(_classed(folder, step), "root long, tile long, low long, high long"), "classed", n // group)
         a, b = (tiles.select("root", *[F.col(c).alias(f"{c}_{s}") for c in ("tile", "low", "high")]) for s in "ab")
         start = tiles.groupBy("root").agg(F.min("tile").alias("start"))
         pairs = a.join(start, "root").join(b, "root").where("tile_a < tile_b and not (low_a = low_b and high_a = high_b and low_a = high_b)")
         pairs = pairs.where("tile_a = start" if step == "first" else "tile_a <> start").select("root", "tile_a", "tile_b")
-        more = pairs.repartition(n, "root", "tile_a", "tile_b").mapInPandas(_across(folder, step, least), "u long, v long")
+        more = pairs.repartition(parts, "root", "tile_a", "tile_b").mapInPandas(_across(folder, step, least), "u long, v long")
         links = links.union(kept(more, "links"))
-    named = kept(components(links).withColumnsRenamed({"root": "class"}), "classes")
+    named = kept(components(links).withColumnsRenamed({"root": "class"}), "classes", n)
     release(signs, lows, near, dealt)
     for own in (folder, index[0][0].rsplit("/", 1)[0]):
         remove(docs.sparkSession, own)
