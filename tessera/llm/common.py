@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +43,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return re.sub(r"^file:/(?!/)", "file:///", hadoop.makeQualified(path).toString())
 
 
+def give_back() -> None:
+    """Returns what numpy and Arrow have freed to the system: a Python worker lives on after its task, and all workers of
+    an executor share its memory."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
+
 def store(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a folder or file and its path there, for code on the driver and on executors alike."""
     return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))

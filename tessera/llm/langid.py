@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import packed, text_key
+from tessera.llm.common import give_back, packed, text_key
 from tessera.llm.ngrams import hashed
 
 ORDERS = (1, 2, 3)
@@ -116,6 +116,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
 
     @F.pandas_udf("lang_pred string, score double")
     def of(texts: pd.Series) -> pd.DataFrame:
-        return shared.value.predict_all(texts.tolist())
+        found = shared.value.predict_all(texts.tolist())
+        give_back()
+        return found
 
     return docs.select(packed(keep), of(F.col(text_col)).alias("predicted")).select("row", "predicted.*")

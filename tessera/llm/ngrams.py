@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Characters that are hashed in one go.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 

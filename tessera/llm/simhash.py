@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLANKS, kept, release, remove, shared_folder, small_side, text_key
+from tessera.llm.common import BLANKS, give_back, kept, release, remove, shared_folder, small_side, text_key
 from tessera.llm.components import components
 from tessera.llm.elias_fano import held, save
 from tessera.llm.lm import _pack, _unpack
@@ -30,7 +30,7 @@ TILE = 32768
 #: Up to this radius the tiles go by the population counts of quarters.
 QUARTERS_TO = 4
 #: Shingles between two sorts of a task, bytes of text to a part of the shared shingles, bits of a hash that are left out there.
-FLUSH = 1_000_000
+FLUSH = 250_000
 PART_BYTES = 16 << 20
 SHORT = np.uint64(24)
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -64,7 +64,9 @@ def fingerprint(text, size: int = 3):
 
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint_of(shingle_hashes(t, size)) for t in texts], dtype="int64")
+        found = pd.Series([fingerprint_of(shingle_hashes(t, size)) for t in texts], dtype="int64")
+        give_back()
+        return found
 
     return simhash(text)
 
@@ -119,6 +121,7 @@ def _linked(radius: int):
                 if (root != np.arange(len(root))).any():
                     out.append(_stars(nodes, root))
             yield pd.concat(out)
+            give_back()
 
     return run
 
@@ -241,8 +244,10 @@ def _sets(texts: Iterator[pd.Series], size: int) -> Iterator[list[np.ndarray]]:
         if n >= FLUSH:
             yield sets
             sets, n = [], 0
+            give_back()
     if sets:
         yield sets
+    give_back()
 
 
 def _shared_shingles(texts: DataFrame, size: int) -> tuple[list[str], np.ndarray]:
@@ -371,6 +376,7 @@ def _across(folder: str, step: str, least: float):
                 class_a, class_b = (held(f"{x}.{step}")["classes"] for x in (a, b))
                 if len(links := _alike(Tile.load(a), Tile.load(b), class_a, class_b, least)):
                     yield links
+            give_back()
 
     return run
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import kept, packed, small_side
+from tessera.llm.common import give_back, kept, packed, small_side
 from tessera.llm.lm import _pack, _summed, _unpack
 from tessera.llm.ngrams import hashed
 
@@ -120,6 +120,7 @@ def counted(sample: DataFrame, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
                 ends = np.append(np.searchsorted(hashes, cuts), len(hashes))
                 out = [(p, b - a, _pack(hashes[a:b], (both[a:b] & 0xFFFF).astype(np.uint16), (both[a:b] >> 32).astype(np.uint16))) for p, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)) if a < b]
                 yield pd.DataFrame(out, columns=["part", "n", "data"])
+            give_back()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         found = [_unpack(d, k, np.uint64, np.uint16, np.uint16) for d, k in zip(pdf["data"], pdf["n"], strict=True)]
@@ -210,7 +211,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(texts.tolist()), dtype="float64")
+        found = pd.Series(shared.value.scores(texts.tolist()), dtype="float64")
+        give_back()
+        return found
 
     scored = docs.select(packed(keep), of(F.col(text_col)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
