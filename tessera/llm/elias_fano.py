@@ -170,21 +170,23 @@ def load(uri: str) -> dict[str, np.ndarray]:
     return out
 
 
-#: Bytes of the files that held() keeps, mapped or read.
-HELD_BYTES = 512 << 20
+#: What held() keeps: bytes of files that were read, and number of files that are mapped, which takes no memory of its own.
+HELD_BYTES = 256 << 20
+MAPPED = 4096
 _held: dict[str, dict[str, np.ndarray]] = {}
 
 
 def held(uri: str) -> dict[str, np.ndarray]:
-    """load(), and keeps the files that were used last, HELD_BYTES of them at most."""
+    """load(), and keeps the files that were used last."""
     if uri in _held:
         _held[uri] = _held.pop(uri)
         return _held[uri]
-    own = load(uri)
-    size = lambda arrays: sum(a.nbytes for a in arrays.values())
+    own, mapped = load(uri), store(uri)[0].type_name == "local"
+    size = lambda arrays: 0 if mapped else sum(a.nbytes for a in arrays.values())
     total = sum(map(size, _held.values())) + size(own)
-    for old in list(_held) if total > HELD_BYTES else ():
-        if total > HELD_BYTES // 2:
-            total -= size(_held.pop(old))
+    if total > HELD_BYTES or len(_held) >= MAPPED:
+        for old in list(_held):
+            if total > HELD_BYTES // 2 or len(_held) > MAPPED // 2:
+                total -= size(_held.pop(old))
     _held[uri] = own
     return own

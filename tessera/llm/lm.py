@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import packed, shared_folder, store
-from tessera.llm.elias_fano import EliasFano, load, save
+from tessera.llm.elias_fano import EliasFano, held, load, save
 
 #: Hash of the end of a text; no word has white space.
 END = xxhash.xxh64_intdigest(b"\n")
@@ -36,8 +36,6 @@ SHARD = 3_000_000
 #: A probability's code of 16 bits counts steps of 1/4096 below 1 in log10, rounded down so that sums stay below 1.
 STEP = 4096.0
 ZERO = (1 << 16) - 1
-#: Unless asked otherwise; op8_score asks for all trigrams.
-LEAST_TRIGRAM = 2
 
 
 def hashes_of(text: str | None) -> np.ndarray:
@@ -119,16 +117,13 @@ class Trie:
     discounts: tuple[float, float, float] = (0.5, 0.5, 0.5)
     parts: list[str] = field(default_factory=list)  # vocabulary, by the hash's leading bits
     part_first: list[int] = field(default_factory=list)  # the first number of each part, and V
+    part_tokens: list[int] = field(default_factory=list)  # the tokens of all parts before each, and N
     shards: list[str] = field(default_factory=list)
     shard_key: list[int] = field(default_factory=list)  # the least key of each shard
     shard_first: list[int] = field(default_factory=list)  # the first bigram of each shard, and their number
 
     def _file(self, name: str) -> dict[str, np.ndarray]:
-        if (self.folder, name) not in _MAPPED:
-            if len(_MAPPED) > 4096:
-                _MAPPED.clear()
-            _MAPPED[self.folder, name] = load(f"{self.folder}/{name}")
-        return _MAPPED[self.folder, name]
+        return held(f"{self.folder}/{name}")
 
     def _by_part(self, firsts: list[int], sorted_queries: np.ndarray) -> Iterator[tuple[int, slice]]:
         """The part that each of some sorted numbers falls in, part by part."""
@@ -192,12 +187,8 @@ class Trie:
         return out
 
 
-_MAPPED: dict[tuple[str, str], dict[str, np.ndarray]] = {}
-
-
-def train(docs: DataFrame, text_col: str = "text", least_trigram: int = LEAST_TRIGRAM) -> Trie:
-    """A model of all rows of docs; null texts are empty. Every word and bigram counts, and trigrams that occur
-    `least_trigram` times or more: with 1 all of them, rarer ones are left to backing off."""
+def train(docs: DataFrame, text_col: str = "text") -> Trie:
+    """A model of all rows of docs; null texts are empty. Every word, bigram and trigram counts."""
     spark = docs.sparkSession
     trie = Trie(shared_folder(spark, "trie"))
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -205,7 +196,7 @@ def train(docs: DataFrame, text_col: str = "text", least_trigram: int = LEAST_TR
     if not trie.texts:
         return trie
     _vocabulary(texts, trie, 1 + size // PART_BYTES)
-    rows = _counts(texts, trie, least_trigram)
+    rows = _counts(texts, trie)
     trie.shards, trie.shard_key = [f"{r.shard}.ngrams" for r in rows], [r.least for r in rows]
     trie.shard_first = [0, *np.cumsum([r.bigrams for r in rows]).tolist()]
     total = lambda name: sum(r[name] for r in rows)
@@ -251,7 +242,9 @@ def _vocabulary(texts: DataFrame, trie: Trie, parts: int) -> None:
     words = dict((r.part, r.words) for r in rows)
     trie.parts = [f"{p}.words" for p in range(parts)]
     trie.part_first = [0, *np.cumsum([words.get(p, 0) for p in range(parts)]).tolist()]
-    trie.words, trie.tokens = trie.part_first[-1], sum(r.tokens for r in rows)
+    tokens = dict((r.part, r.tokens) for r in rows)
+    trie.part_tokens = [0, *np.cumsum([tokens.get(p, 0) for p in range(parts)]).tolist()]
+    trie.words, trie.tokens = trie.part_first[-1], trie.part_tokens[-1]
     trie.discounts = (_discount(sum(r.once for r in rows), sum(r.twice for r in rows)), 0.5, 0.5)
 
 
@@ -271,30 +264,35 @@ def _sequence(trie: Trie, hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.n
     return sequence, begins, n
 
 
-def _cuts(trie: Trie, shards: int) -> list[int]:
+def _words_at(spark, trie: Trie, masses: list[float]) -> list[tuple[int, float]]:
+    """Of places in the running sum of all words' counts: the word there, and how far in it that is. Each part of the
+    vocabulary is looked at by a task of its own, if a place is in it."""
+    part = [min(max(0, int(np.searchsorted(trie.part_tokens, m, side="right")) - 1), len(trie.parts) - 1) for m in masses]
+    asked = sorted(set(part))
+
+    def work(k: int) -> tuple:
+        p = asked[k]
+        own = load(f"{trie.folder}/{trie.parts[p]}")["count"]
+        run, out = trie.part_tokens[p] + np.cumsum(own), []
+        for m in (m for m, at in zip(masses, part, strict=True) if at == p):
+            i = min(int(np.searchsorted(run, m, side="right")), len(run) - 1)
+            out.append((trie.part_first[p] + i, min(1.0, max(0.0, float((m - (run[i] - own[i])) / own[i])))))
+        return p, [int(w) for w, _ in out], [s for _, s in out]
+
+    found = {r.id: iter(zip(r.words, r.shares, strict=True)) for r in _run(spark, len(asked), work, "id long, words array<long>, shares array<double>")} if asked else {}
+    return [next(found[p]) for p in part]
+
+
+def _cuts(spark, trie: Trie, shards: int) -> list[int]:
     """Keys that cut the bigrams into parts of about equal counts, if words followed each other independently."""
-    sums = [0]
-    for p in trie.parts:
-        sums.append(sums[-1] + int(trie._file(p)["count"].sum()))
-
-    def word(mass: float) -> tuple[int, float]:
-        """The word at a place in the running sum of counts, and how far in it that is."""
-        p = min(max(0, int(np.searchsorted(sums, mass, side="right")) - 1), len(trie.parts) - 1)
-        run = sums[p] + np.cumsum(trie._file(trie.parts[p])["count"])
-        i = min(int(np.searchsorted(run, mass, side="right")), len(run) - 1)
-        n = int(trie._file(trie.parts[p])["count"][i])
-        return trie.part_first[p] + i, min(1.0, max(0.0, (mass - (run[i] - n)) / n))
-
-    out = set()
-    for i in range(1, shards):
-        first, share = word(trie.tokens * i / shards)
-        out.add((first << 32) | word(trie.tokens * share)[0])
-    return [0, *sorted(out - {0})]
-
-
-def _counts(texts: DataFrame, trie: Trie, least_trigram: int) -> list:
+    first = _words_at(spark, trie, [trie.tokens * i / shards for i in range(1, shards)])
+    second = _words_at(spark, trie, [trie.tokens * share for _, share in first])
+    return [0, *sorted({(a << 32) | b for (a, _), (b, _) in zip(first, second, strict=True)} - {0})]
+
+
+def _counts(texts: DataFrame, trie: Trie) -> list:
     """Writes counted bigrams and trigrams by shard; returns a row for each shard."""
-    cuts = _cuts(trie, 1 + trie.tokens // SHARD)
+    cuts = _cuts(texts.sparkSession, trie, 1 + trie.tokens // SHARD)
     inner = np.array(cuts[1:], np.uint64)
 
     def count(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -320,7 +318,7 @@ def _counts(texts: DataFrame, trie: Trie, least_trigram: int) -> list:
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         bigrams, n2 = keys[first], np.add.reduceat(n, first, dtype=np.int64)
         real = third != NONE
-        stay = np.flatnonzero(real & (n >= least_trigram))
+        stay = np.flatnonzero(real)
         shard = int(pdf["shard"].iloc[0])
         context = (np.searchsorted(first, stay, side="right") - 1).astype(np.uint32)
         save(f"{folder}/{shard}.counts", {"key": bigrams})
@@ -442,14 +440,19 @@ def score(docs: DataFrame, trie: Trie, text_col: str = "text", keep: list[str] |
     every row.
 
     A null text is empty: its only token is the end. An unknown word counts as one further word of the vocabulary. With
-    nothing learned, score is 0 for each token.
+    nothing learned, score is 0 for each token. Repeated rows stay, and equal texts have equal scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trie)  # a few numbers for each file
     names = ["n_tokens", "n_known", "base_score", "score"]
 
     @F.pandas_udf("n_tokens long, n_known long, base_score double, score double")
     def of(texts: pd.Series) -> pd.DataFrame:
-        out = [pd.DataFrame(_scores(shared.value, *batch))[names] for batch in _batches(iter([pd.DataFrame({"text": texts})]))]
+        own = [hashes_of(t) for t in texts]
+        lengths = np.array([len(h) for h in own], np.int64)
+        # about FLUSH words at a time, in parts of about equal size
+        part = (np.cumsum(lengths) - lengths) * max(1, round(lengths.sum() / FLUSH)) // max(1, lengths.sum())
+        starts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(own)]
+        out = [pd.DataFrame(_scores(shared.value, np.concatenate(own[a:b]), lengths[a:b]))[names] for a, b in zip(starts, starts[1:], strict=False)]
         return pd.concat(out) if out else pd.DataFrame({x: [] for x in names})
 
     scored = docs.select(packed(keep), of(F.col(text_col)).alias("scored"))

@@ -275,9 +275,9 @@ class Plain:
         if times:
             p = max(self.c2[v, w] - self.d2, 0) / times + self.d2 * self.next[v] / times * p
         if not start and self.c2[u, v]:
-            held = sum((n - self.d3) / self.c2[u, v] for k, n in self.c3.items() if k[:2] == (u, v) and n >= 2)
+            held = sum((n - self.d3) / self.c2[u, v] for k, n in self.c3.items() if k[:2] == (u, v))
             n = self.c3[u, v, w]
-            p = ((n - self.d3) / self.c2[u, v] if n >= 2 else 0) + (1 - held) * p
+            p = ((n - self.d3) / self.c2[u, v] if n else 0) + (1 - held) * p
         return p
 
     def score(self, text):
@@ -311,24 +311,12 @@ def test_language_model_of_nothing(spark, awkward, empty):
     assert lm.score(empty, lm.train(awkward)).count() == 0
 
 
-class Whole(Plain):
-    """With the trigrams that occur once."""
-
-    def p(self, u, v, w, start):
-        p = super().p(u, v, w, True)
-        if not start and self.c2[u, v]:
-            follow = [n for k, n in self.c3.items() if k[:2] == (u, v)]
-            n = self.c3[u, v, w]
-            p = max(0, n - self.d3) / self.c2[u, v] + (1 - sum(x - self.d3 for x in follow) / self.c2[u, v]) * p
-        return p
-
-
 def test_language_model_query_keeps_all_trigrams(spark, rng, tmp_path):
     texts = [prose(rng, rng.randint(0, 60)) for _ in range(80)] + ["Same Words here", "same words HERE", None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     rows = queries.op8_score(spark, str(tmp_path)).collect()
-    plain = Whole([texts[r.doc_id] for r in rows if not r.held_out])
+    plain = Plain([texts[r.doc_id] for r in rows if not r.held_out])
     assert len(rows) == len(texts) and {r.held_out for r in rows} == {True, False}
     assert sum(n == 1 for n in plain.c3.values()) > 100
     for r in rows:
