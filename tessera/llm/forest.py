@@ -3,6 +3,9 @@
 The vectors are dealt over blocks of bounded size. In each block every tree is a sorted array of bit strings, the sides of
 random planes on which a vector lies. A query descends each tree by binary search to its longest prefix; then all trees
 ascend together, a bit at a time, until they hold enough candidates, whose distances are computed exactly.
+
+Blocks and chunks of queries are files in the shared folder, mapped where they are compared; a pair of them costs one
+short row, so that no task holds more than one of each, however many there are.
 """
 
 from __future__ import annotations
@@ -14,13 +17,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import kept
+from tessera.llm.common import give_back, kept, shared_folder
+from tessera.llm.elias_fano import held, save
 
 TREES = 256
 BITS = 30
 #: Vectors of a block and queries of a chunk, in the mean.
 BLOCK = 16384
 CHUNK = 256
+#: Parts of the blocks that go to a task of their own, by all chunks, for each partition that shuffles have.
+SPREAD = 4
 #: A query ascends in a block of n vectors until it has RATE * n ** POWER candidates: 44 % of 2,000, 21 % of 16,384.
 RATE = 6.3
 POWER = 0.65
@@ -51,25 +57,30 @@ def strings(vectors: np.ndarray, centre: np.ndarray, cut: np.ndarray, trees: int
     return out
 
 
-def _blocks(trees: int, bits: int):
+def _blocks(folder: str, trees: int, bits: int):
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One block as a row: its vectors by id, the sorted strings of all trees and whose they are."""
+        """Saves one block: its vectors by id, the sorted strings of all trees and whose they are."""
         pdf = pdf.sort_values("id", kind="stable")
         vectors = np.stack(pdf["vector"].to_list()).astype(np.float64)
         centre = vectors.mean(axis=0)
         numbers = strings(vectors, centre, planes(vectors.shape[1], trees, bits), trees, bits)
-        order = np.argsort(numbers, axis=0, kind="stable")
-        row = {
-            "dim": vectors.shape[1],
-            "block": pdf["block"].iloc[0],
-            "ids": pdf["id"].to_numpy(np.int64).tobytes(),
-            "times": pdf["times"].to_numpy(np.int64).tobytes(),
-            "vectors": vectors.tobytes(),
-            "centre": centre.tobytes(),
-            "sorted": np.take_along_axis(numbers, order, axis=0).T.tobytes(),
-            "whose": order.T.astype(np.int32).tobytes(),
-        }
-        return pd.DataFrame([row])
+        order = np.argsort(numbers, axis=0, kind="stable").astype(np.int32)
+        own = {"ids": pdf["id"].to_numpy(np.int64), "times": pdf["times"].to_numpy(np.int64), "vectors": vectors, "centre": centre}
+        block = pdf["block"].iloc[0]
+        save(f"{folder}/{vectors.shape[1]}.{block}.block", own | {"sorted": np.take_along_axis(numbers, order, axis=0).T, "whose": order.T})
+        give_back()
+        return pd.DataFrame({"dim": [vectors.shape[1]], "block": [block]})
+
+    return build
+
+
+def _chunks(folder: str):
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Saves one chunk of queries."""
+        vectors = np.stack(pdf["vector"].to_list()).astype(np.float64)
+        chunk = pdf["chunk"].iloc[0]
+        save(f"{folder}/{vectors.shape[1]}.{chunk}.chunk", {c: pdf[c].to_numpy(np.int64) for c in ("id", "query", "times")} | {"vectors": vectors})
+        return pd.DataFrame({"dim": [vectors.shape[1]], "chunk": [chunk]})
 
     return build
 
@@ -106,26 +117,24 @@ def candidates(flat: np.ndarray, whose: np.ndarray, numbers: np.ndarray, want: i
         yield np.flatnonzero(marked)
 
 
-def _search(k: int, trees: int, bits: int, rate: float, power: float):
+def _search(folder: str, k: int, trees: int, bits: int, rate: float, power: float):
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            out = [pd.DataFrame({"query_id": [], "query": [], "copies": [], "vec_id": [], "score": []})]
             for row in pdf.itertuples():
-                ids, times = np.frombuffer(row.ids, np.int64), np.frombuffer(row.times, np.int64)
-                n = len(ids)
-                vectors = np.frombuffer(row.vectors, np.float64).reshape(n, row.dim)
-                flat, whose = np.frombuffer(row.sorted, np.uint32).reshape(trees, n), np.frombuffer(row.whose, np.int32).reshape(trees, n)
-                queries = np.stack(list(row.query_vectors)).astype(np.float64)
-                numbers = strings(queries, np.frombuffer(row.centre), planes(row.dim, trees, bits), trees, bits)
-                want = min(n, int(np.ceil(rate * n**power)))
-                for i, found in enumerate(candidates(flat, whose, numbers, want, bits)):
+                own, asked = held(f"{folder}/{row.dim}.{row.block}.block"), held(f"{folder}/{row.dim}.{row.chunk}.chunk")
+                ids, times, vectors, queries = own["ids"], own["times"], own["vectors"], asked["vectors"]
+                numbers = strings(queries, own["centre"], planes(row.dim, trees, bits), trees, bits)
+                want = min(len(ids), int(np.ceil(rate * len(ids) ** power)))
+                out = []
+                for i, found in enumerate(candidates(own["sorted"], own["whose"], numbers, want, bits)):
                     far = np.sqrt(((vectors[found] - queries[i]) ** 2).sum(axis=1))
                     # rows that repeat id and vector count each; the query's own row doesn't
-                    left = times[found] - ((ids[found] == row.query_ids[i]) & (vectors[found] == queries[i]).all(axis=1))
+                    left = times[found] - ((ids[found] == asked["id"][i]) & (vectors[found] == queries[i]).all(axis=1))
                     best = np.lexsort((ids[found], far))
                     best = np.repeat(best, np.minimum(left[best], k))[:k]
-                    out.append(pd.DataFrame({"query_id": row.query_ids[i], "query": row.queries[i], "copies": row.copies[i], "vec_id": ids[found][best], "score": far[best]}))
-            yield pd.concat(out)
+                    out.append(pd.DataFrame({"query_id": asked["id"][i], "query": asked["query"][i], "copies": asked["times"][i], "vec_id": ids[found][best], "score": far[best]}))
+                yield pd.concat(out)
+            give_back()
 
     return run
 
@@ -145,13 +154,16 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
     cut = rows.groupBy("dim").agg(F.ceil(F.count("*") / block).alias("blocks"), F.ceil(F.sum(F.col("asks").cast("int")) / chunk).alias("chunks"))
     cut = kept(cut, "dims")  # a row for each length of vectors
     dealt = rows.join(F.broadcast(cut), "dim")
+    folder, parts = shared_folder(vectors.sparkSession, "forest"), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     index = dealt.withColumn("block", F.pmod(F.xxhash64("id", "vector"), "blocks")).groupBy("dim", "block")
-    index = kept(index.applyInPandas(_blocks(trees, bits), "dim int, block long, ids binary, times binary, vectors binary, centre binary, sorted binary, whose binary"), "forest")
+    index = kept(index.applyInPandas(_blocks(folder, trees, bits), "dim int, block long"), "blocks")
     asks = dealt.where("asks").withColumn("query", F.xxhash64("id", "vector")).withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "id"), "chunks"))
-    asks = asks.groupBy("dim", "chunk").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("id", "query", "times", "vector")).alias("q"))
-    asks = asks.select("dim", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    asks = asks.select("dim", "block", F.col("q.id").alias("query_ids"), F.col("q.query").alias("queries"), F.col("q.times").alias("copies"), F.col("q.vector").alias("query_vectors"))
-    found = index.join(asks, ["dim", "block"]).mapInPandas(_search(k, trees, bits, rate, power), "query_id long, query long, copies long, vec_id long, score double")
+    asks = kept(asks.groupBy("dim", "chunk").applyInPandas(_chunks(folder), "dim int, chunk long"), "chunks")
+    # the blocks of a task are asked for the same queries, so that the ranks below leave few rows of it
+    spread = F.pmod("block", F.ceil(F.lit(SPREAD * parts) / F.col("chunks")))
+    pairs = index.join(F.broadcast(cut), "dim").join(asks, "dim").select("dim", "block", "chunk", spread.alias("part"))
+    pairs = pairs.repartition(parts, "dim", "chunk", "part").select("dim", "block", "chunk")
+    found = pairs.mapInPandas(_search(folder, k, trees, bits, rate, power), "query_id long, query long, copies long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy("score", "vec_id"))
     found = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, forest, lm, queries, warc
-from tessera.llm.common import shared_folder
+from tessera.llm.common import kept, shared_folder
 from tessera.llm.elias_fano import EliasFano, load, save
 
 from .conftest import AWKWARD, prose
@@ -196,6 +196,17 @@ def test_forest_recall(spark):
     assert hits / 600 >= 0.9
 
 
+def test_forest_rows_are_short(spark, monkeypatch):
+    """What a task reads of an index or of queries is a short row for each, however large blocks and chunks are."""
+    tables = []
+    monkeypatch.setattr(forest, "kept", lambda df, *rest: tables.append(kept(df, *rest)) or tables[-1])
+    vectors = np.random.default_rng(3).standard_normal((3000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    assert forest.search(df, F.col("vec_id") % 100 == 0, block=1000, chunk=10).count() == 300
+    longest = [max(len(bytes(x)) if isinstance(x, bytes | bytearray) else 8 * len(x) if isinstance(x, list) else 8 for r in t.collect() for x in r) for t in tables]
+    assert len(longest) >= 4 and max(longest) <= 128
+
+
 @pytest.mark.parametrize("n", [300, 2000, 5000])
 def test_forest_saves_work(n):
     """Recall of 0.9 with a share of the vectors that falls as they grow; no size is looked through whole."""
