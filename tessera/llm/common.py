@@ -8,9 +8,13 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import suppress
 from functools import reduce
 
 import pyarrow as pa
+from py4j.java_collections import JavaArray
+from py4j.java_gateway import JavaClass
+from py4j.protocol import Py4JError
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +55,31 @@ def give_back() -> None:
         _TRIM(0)
 
 
+def give_back_driver(spark: SparkSession) -> None:
+    """The same for the driver: its Python, the heap of its JVM where that has grown to two thirds of what it may have,
+    and the memory that the JVM has freed outside of its heap, which malloc keeps for itself otherwise."""
+    give_back()
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > heap.maxMemory() // 3 * 2:
+        heap.gc()
+
+    def array(kind: JavaClass, values: list) -> JavaArray:
+        out = gateway.new_array(kind, len(values))
+        for i, x in enumerate(values):
+            out[i] = x
+        return out
+
+    # the platform's server is of a class that isn't public, so the method is that of its interface
+    of = jvm.java.lang.Class.forName
+    kinds = ["javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"]
+    with suppress(Py4JError):  # a JVM without this command keeps the memory
+        call = of("javax.management.MBeanServerConnection").getMethod("invoke", array(jvm.java.lang.Class, [of(x) for x in kinds]))
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        call.invoke(server, array(jvm.java.lang.Object, [name, "systemTrimNativeHeap", None, None]))
+
+
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 
 
@@ -71,6 +100,7 @@ def kept(df: DataFrame, name: str = "table", most: int | None = None) -> DataFra
     folder = shared_folder(df.sparkSession, name)
     df = df if most is None else df.coalesce(max(FILES, most // FILE_ROWS))
     df.write.parquet(f"{folder}/rows")
+    give_back_driver(df.sparkSession)
     found = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
     _KEPT[id(found)] = found, folder
     return found

@@ -1,12 +1,16 @@
 """Each stage of the corpus pipeline against brute force, on its predecessor's rows."""
 
+import re
+import sys
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import toxicity
+from tessera.llm import common, toxicity
 from tessera.llm.common import held_out
 
 from .test_text_operators import blank_words, groups, plain_lines, plain_report, plain_targets
@@ -70,3 +74,21 @@ def test_awkward_rows(spark, awkward, empty, tmp_path):
     named = STAGES["mix"](spark, awkward.withColumns({"Copy": F.lit(5), "copy_2": F.lit(6)}), str(tmp_path))
     named.write.parquet(f"{tmp_path}/named")
     assert named.columns[-3:] == ["Copy", "copy_2", "copy_3"] and {r["Copy"] for r in named.collect()} == {5}
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_driver_gives_memory_back(spark, monkeypatch):
+    """Memory that the driver's JVM has freed outside of its heap goes back when a table has been written."""
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    held = lambda: int(re.search(r"\nAnonymous:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) / 1024
+    common.give_back_driver(spark)
+    packers = [jvm.java.util.zip.Deflater() for _ in range(2000)]  # each a few blocks from malloc
+    for x in packers[:-1]:  # the last one keeps malloc from giving the rest back by itself
+        x.end()
+    full = held()
+    common.give_back_driver(spark)
+    assert full - held() > 50
+    calls = []
+    monkeypatch.setattr(common, "give_back_driver", calls.append)
+    assert common.kept(spark.range(10), "few").count() == 10 and len(calls) == 1
