@@ -405,10 +405,15 @@ class Writer(Engine):
             return bool(ids)
 
     def delete_many(self, entity: Entity, where: Any, before: Any = None) -> int:
+        """All matching rows, however many, in one transaction; their ids don't go through the driver."""
+        if not where:
+            raise QueryError("a condition is needed")
         with self.transaction():
-            ids = self._matching(entity, where, before)
-            self._delete(entity, ids)
-            return len(ids)
+            found = self.find(entity, where, order_by=False, select={"id": True}, before=before)
+            with self.store.kept(found.select(F.col("id").alias("k"))) as keys:
+                if n := keys.count():
+                    self._delete_keys(entity, keys)
+                return n
 
     def delete_all(self, entity: Entity) -> int:
         with self.transaction():

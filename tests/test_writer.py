@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import schema as s
 from tessera.errors import Forbidden, NotFound, QueryError, Referenced
@@ -99,6 +100,22 @@ def test_transaction(engine):
     assert engine.store.vacuum() > 0 and engine.count(author) == 2 and engine.delete_all(author) == 2
 
 
+def test_delete_many_of_any_number(engine, spark, monkeypatch):
+    monkeypatch.setattr(w, "BULK_CAP", 2)
+    n = 9
+    engine.load(tag, spark.range(n).selectExpr("id", "if(id = 7, 'stays', 'goes') AS name"))
+    links = F.when(F.col("id") == 0, F.array(F.lit("7"), F.lit("8"))).otherwise(F.array(F.col("id").cast("string")))
+    part = F.array(F.struct(F.lit("c").alias("name"), F.array(F.struct(F.lit("x").alias("t"))).alias("notes")))
+    engine.load(book, spark.range(n).select("id", F.when(F.col("id") < 2, "stays").otherwise("goes").alias("title"), links.alias("tagsIds"), part.alias("chapters")))
+    assert engine.delete_many(book, {"title": "goes"}) == n - 2
+    rows = lambda table, column: sorted(r[0] for r in engine.store.frame(table).select(column).collect())
+    assert rows("book", "id") == rows("book__chapters", "book_id") == ["0", "1"] and len(rows("book__chapters__notes", "id")) == 2
+    assert rows("book__tags", "target_id") == ["1", "7", "8"]
+    assert engine.delete_many(tag, {"name": "goes"}) == n - 1 and engine.delete_many(tag, {"name": "goes"}) == 0
+    assert rows("tag", "id") == rows("book__tags", "target_id") == ["7"]
+    assert not list(engine.store._files.listStatus(engine.store._path("drafts")))  # the ids are gone too
+
+
 def test_check(engine):
     with pytest.raises(Forbidden):
         engine.create_many(author, [{"name": "a", "age": 1}, {"name": "b", "age": 9}], check={"age": {"lt": 5}})
